@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, multiset, packing, resample, rules, simhash, tokencount, units, warc
+from . import mixing, multiset, packing, resample, rules, simhash, suffixes, tokencount, units, warc
 from .common import sha256, shared_path, table
 
 
@@ -27,6 +27,11 @@ def op2_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.coalesce(F.char_length("before"), F.lit(0)).cast("long").alias("n_chars"), F.greatest(n, F.lit(0)).cast("long").alias("n_spans"), left.cast("long").alias("n_removed"), text.alias("removed_spans"), sha256(F.col("text")).alias("kept_sha256"))
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffixes.deduplicated(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +63,38 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_units, op4_resample, op5_multiset, op6_warc, op7_rules, op8_mixing, op9_packing, op10_tokens)}
-
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_units, op3_suffixes, op4_resample, op5_multiset, op6_warc, op7_rules, op8_mixing, op9_packing, op10_tokens)}
+
+_UNITS = "regexp_extract_all(text, '[^.!?\\n]+[.!?\\n]*[ \\t\\n\\x0b\\x0c\\r]*|[.!?\\n]+[ \\t\\n\\x0b\\x0c\\r]*')"
+
+SQL: dict[str, str] = {
+    "op2_units": f"""
+with cut as (
+  select doc_id, unnest({_UNITS}) as unit, generate_subscripts({_UNITS}, 1) as i from documents where text is not null
+), placed as (
+  select doc_id, unit, i, sum(length(unit)) over (partition by doc_id order by i) - length(unit) as s,
+         trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0b\\x0c\\r]+', ' ', 'g')) as norm
+  from cut
+), ranked as (
+  select *, row_number() over (partition by norm order by doc_id, s) as k, length(norm) - length(replace(norm, ' ', '')) + (case when norm = '' then 0 else 1 end) as n_words
+  from placed
+), judged as (select *, (n_words >= 5 and k > 1) as gone from ranked),
+folded as (
+  select doc_id, count(*) filter (where gone) as n_spans, coalesce(sum(length(unit)) filter (where gone), 0) as n_removed,
+         coalesce(string_agg(cast(s as bigint) || '-' || cast(s + length(unit) as bigint), ',' order by i) filter (where gone), '') as removed_spans,
+         coalesce(string_agg(unit, '' order by i) filter (where not gone), '') as kept
+  from judged group by doc_id
+)
+select d.doc_id, cast(length(coalesce(d.text, '')) as bigint) as n_chars, cast(coalesce(f.n_spans, 0) as bigint) as n_spans,
+       cast(coalesce(f.n_removed, 0) as bigint) as n_removed, coalesce(f.removed_spans, '') as removed_spans, sha256(coalesce(f.kept, '')) as kept_sha256
+from documents d left join folded f on d.doc_id = f.doc_id
+""",
+    "op6_warc": """
+with p as (select page_id, coalesce(html, '') as h from pages),
+f as (select *, min(page_id) over (partition by h) as first from p)
+select page_id, cast(strlen(h) as bigint) as payload_bytes, sha256(h) as payload_digest,
+       case when strlen(h) >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+       case when strlen(h) >= 100 and page_id <> first then first end as refers_to
+from f
+""",
+}
