@@ -9,8 +9,8 @@ from ..functions.text import extension, norm_label
 from ..model import API_CONFIDENCE, COPIES, COSINE, CROSS_LANGUAGE, DEV_CONFIDENCE, FALLBACK_SCORE, IDENTITY_FLOOR, MANUAL_CONFIDENCE, PAIR_CAP, RELATIVE, RUNTIME_CONFIDENCE, SEP, TOP_K, key_parts
 
 # Extensions that count as code, and those that are one language.
-CODE = [".php", ".py", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".go", ".java", ".kt", ".cs", ".rb", ".rs", ".c", ".h", ".cpp", ".hpp", ".scala", ".swift"]
-FAMILY = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue"]
+CODE = [".php", ".py", ".go", ".rb", ".java", ".kt", ".cs", ".rs", ".swift", ".scala", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".c", ".h", ".cc", ".cpp", ".hpp", ".m", ".mm", ".pp", ".scss", ".css", ".sql"]
+FAMILY = [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".vue"]
 REF = "struct<repo:string,source_file:string,qualified_label:string>"
 
 

@@ -329,7 +329,7 @@ def depends_on_locked(spark: SparkSession, d: str) -> DataFrame:
 
 def _api(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p = T.table(spark, d, "pages")
-    path = F.concat(F.lit("/"), F.coalesce(F.nullif(F.regexp_extract("url", r"^\w+://[^/]+/([^?#]*)", 1), F.lit("")), F.lit("root")))
+    path = F.coalesce(F.nullif(F.regexp_extract("html", r'href="(/[^"]*)"', 1), F.lit("")), F.lit("/root"))
     prov = p.select(F.lit("GET").alias("method"), X.path_template(path).alias("template"), F.regexp_extract("url", r"^\w+://([^/]+)", 1).alias("repo"), F.col("url").alias("file"), F.lit("page").alias("label"), F.lit(0).alias("repo_ord"), F.lit(0).alias("suffix_ord"), F.col("page_id").alias("pos"))
     href = F.explode(F.regexp_extract_all("html", F.lit(r'href="(/[^"]*)"'), F.lit(1)))
     cons = p.select(F.concat(F.lit("c"), F.regexp_extract("url", r"^\w+://([^/]+)", 1)).alias("repo"), F.col("url").alias("file"), href.alias("path")).select(F.lit("GET").alias("method"), X.path_template(F.col("path")).alias("template"), "repo", "file")
@@ -339,7 +339,7 @@ def _api(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 _TEMPLATE = "regexp_replace('/' || regexp_replace(regexp_replace({0}, '\\?.*$', ''), '^/+|/+$', '', 'g'), '\\{{[^}}]*\\}}', '{{param}}', 'g')"
 
 
-@query(f"""with prov as (select url, page_id, regexp_extract(url, '^\\w+://([^/]+)', 1) as host, {_TEMPLATE.format("'/' || coalesce(nullif(regexp_extract(url, '^\\w+://[^/]+/([^?#]*)', 1), ''), 'root')")} as template from pages),
+@query(f"""with prov as (select url, page_id, regexp_extract(url, '^\\w+://([^/]+)', 1) as host, {_TEMPLATE.format("""coalesce(nullif(regexp_extract(html, 'href="(/[^"]*)"', 1), ''), '/root')""")} as template from pages),
 first as (select * from (select *, row_number() over (partition by template order by url, page_id) as k from prov) where k = 1),
 cons as (select url, 'c' || regexp_extract(url, '^\\w+://([^/]+)', 1) as host, {_TEMPLATE.format("path")} as template from (select url, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) as path from pages))
 select distinct 'GET' as method, f.template, f.host as p_repo, f.url as p_file, c.host as c_repo, c.url as c_file from first f join cons c on f.template = c.template where f.host <> c.host""")
