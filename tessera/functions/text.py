@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -17,7 +18,9 @@ CAMEL = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 
 def fold_text(s: str) -> str:
     """Without diacritics, case kept: canonical and compatible decomposition less combining marks."""
-    return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    if s.isascii():
+        return s
+    return re.sub(r"[^\x00-\x7f]+", lambda m: "".join(c for c in m.group() if not unicodedata.combining(c)), unicodedata.normalize("NFKD", s))
 
 
 @pandas_udf(StringType())
@@ -26,17 +29,17 @@ def _fold(s: pd.Series) -> pd.Series:
 
 
 def fold(c: Column) -> Column:
-    """ASCII texts stay on the JVM; others go through one Arrow batch."""
-    return F.when(c.rlike("^[\\x00-\\x7F]*$"), c).otherwise(_fold(c))
+    """ASCII texts stay on the JVM; only others go through an Arrow batch."""
+    plain = c.rlike("^[\\x00-\\x7F]*$")
+    return F.when(plain, c).otherwise(_fold(F.when(~plain, c)))
 
 
-def terms(c: Column, folded: bool = False) -> Column:
-    """Search terms, sorted and distinct: each run of letters, digits and underscores, its parts between underscores, and their camel-case parts."""
-    text = F.coalesce(c, F.lit("")) if folded else fold(F.coalesce(c, F.lit("")))
-    runs = F.filter(F.split(text, "[^A-Za-z0-9_]+"), lambda x: x != "")
-    parts = F.filter(F.flatten(F.transform(runs, lambda x: F.split(x, "_"))), lambda x: x != "")
-    camel = F.filter(F.flatten(F.transform(parts, lambda x: F.split(x, CAMEL))), lambda x: x != "")
-    return F.array_sort(F.array_distinct(F.transform(F.concat(runs, parts, camel), F.lower)))
+def terms(c: Column) -> Column:
+    """Search terms, sorted and distinct: each run of letters, digits and underscores, its parts between underscores, and their camel-case parts. A text is cut three times as a whole, never word by word."""
+    text = fold(F.coalesce(c, F.lit("")))
+    runs, parts = F.split(F.lower(text), "[^a-z0-9_]+"), F.split(F.lower(text), "[^a-z0-9]+")
+    camel = F.transform(F.array_distinct(F.split(text, "[^A-Za-z0-9]+|" + CAMEL)), F.lower)
+    return F.array_sort(F.array_remove(F.array_distinct(F.concat(runs, parts, camel)), ""))
 
 
 def alias_forms(label: Column, file: Column, basename: Column) -> Column:

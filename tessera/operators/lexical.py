@@ -23,32 +23,46 @@ def query_terms(q: str) -> list[str]:
     return sorted(out)
 
 
+def numbered(ids: DataFrame) -> DataFrame:
+    """(id, doc_id) from (id, repo): dense numbers, repo after repo.
+
+    Within a repo ids are ordered by a hash and cut into ranges of it, so a repo with a third of all nodes is numbered
+    range by range; only counts by range are ordered as a whole.
+    """
+    n = ids.select("id", "repo", F.xxhash64("id").alias("h")).withColumn("b", F.shiftright("h", 54))
+    sums = n.groupBy("repo", "b").agg(F.count("*").alias("c"))
+    repos = n.groupBy("repo").agg(F.count("*").alias("c"))
+    before = lambda w: F.coalesce(F.sum("c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    start = repos.select(F.col("repo").alias("_repo"), before(W.orderBy("repo")).alias("o"))
+    ranges = sums.withColumn("s", before(W.partitionBy("repo").orderBy("b"))).join(start, F.col("repo") == F.col("_repo")).select(F.col("repo").alias("_r"), F.col("b").alias("_b"), (F.col("s") + F.col("o")).alias("from"))
+    place = F.row_number().over(W.partitionBy("repo", "b").orderBy("h", "id"))
+    return n.withColumn("p", place).join(ranges, (F.col("repo") == F.col("_r")) & (F.col("b") == F.col("_b"))).select("id", (F.col("from") + F.col("p") - 1).alias("doc_id"))
+
+
 def build(nodes: DataFrame, paths: DataFrame | None = None) -> dict[str, DataFrame]:
     """documents (doc_id, repo, key), postings (term, doc_id, field) and aliases (alias, doc_id) of keyed nodes.
 
-    nodes: id, repo, label, source_file, snippet, ord. paths (id, path): dotted labels of configuration keys; those
-    become the key's and the alias's label, and their ancestors count as path. doc_id is dense only within a repo, and
-    repos follow by name; an index this size is never numbered in one task.
+    nodes: id (unique), repo, label, source_file, snippet. paths (id, path): dotted labels of configuration keys; those
+    become the key's and the alias's label, and their ancestors count as path. Texts are cut where they are read; what
+    is shuffled are ids and terms.
     """
     n = nodes if paths is None else nodes.join(paths, "id", "left")
     q = F.col("path") if paths is not None else F.lit(None).cast("string")
     label = F.coalesce(q, F.col("label"), F.lit(""))
     n = n.withColumn("qualified", q).withColumn("full", label).withColumn("key", durable_key(F.col("repo"), F.col("source_file"), label)).where("key is not null")
-    sizes = n.groupBy("repo").agg(F.count("*").alias("_n"))
-    offsets = sizes.select("repo", F.coalesce(F.sum("_n").over(W.orderBy("repo").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    n = n.join(offsets, "repo").withColumn("doc_id", F.col("_o") + F.row_number().over(W.partitionBy("repo").orderBy("ord", "id")) - 1)
-    files = n.where(is_file_label(F.col("label"), F.col("source_file"))).select("repo", "source_file", F.lit(True).alias("_has")).distinct()
-    n = n.join(files, ["repo", "source_file"], "left")
+    number = numbered(n)
     ancestors = F.when(F.col("qualified").isNotNull() & F.col("qualified").endswith(F.concat(F.lit("."), "label")), F.expr("substring(qualified, 1, length(qualified) - length(label) - 1)"))
     fields = F.array(
         F.struct(F.lit("label").alias("field"), terms(F.col("label")).alias("terms")),
         F.struct(F.lit("path").alias("field"), F.array_union(terms(F.col("source_file")), terms(ancestors)).alias("terms")),
         F.struct(F.lit("snippet").alias("field"), terms(F.col("snippet")).alias("terms")),
     )
-    postings = n.select("doc_id", F.explode(fields).alias("x")).select("doc_id", "x.field", F.explode("x.terms").alias("term"))
+    postings = n.select("id", F.explode(fields).alias("x")).select("id", "x.field", F.explode("x.terms").alias("term")).join(number, "id")
+    files = n.where(is_file_label(F.col("label"), F.col("source_file"))).select("repo", "source_file", F.lit(True).alias("_has")).distinct()
+    names = n.select("id", "repo", "source_file", "label", "full").join(files, ["repo", "source_file"], "left")
     base = F.col("_has").isNull() | is_file_label(F.col("label"), F.col("source_file"))
-    aliases = n.select("doc_id", F.explode(alias_forms(F.col("full"), F.col("source_file"), base)).alias("alias"))
-    return {"documents": n.select("doc_id", "repo", "key"), "postings": postings.select("term", "doc_id", "field"), "aliases": aliases.select("alias", "doc_id")}
+    aliases = names.select("id", F.explode(alias_forms(F.col("full"), F.col("source_file"), base)).alias("alias")).join(number, "id")
+    return {"documents": n.select("id", "repo", "key").join(number, "id").select("doc_id", "repo", "key"), "postings": postings.select("term", "doc_id", "field"), "aliases": aliases.select("alias", "doc_id")}
 
 
 def pack(postings: DataFrame) -> DataFrame:
@@ -71,7 +85,8 @@ def doc_freq(postings: DataFrame) -> DataFrame:
 def scores(index: dict[str, DataFrame], query: str, repos: list[str] | None = None) -> DataFrame:
     """(key, score): for each term ln(1 + N / df) times each field's boost, once for each key and field.
 
-    df and N are of the whole index, whatever repos the candidates are limited to.
+    df and N are of the whole index, whatever repos the candidates are limited to. Scores are rounded to nine places, so
+    that equal ones tie whatever order their parts were summed in.
     """
     q = query_terms(query)
     post = index["postings"].where(F.col("term").isin(q)) if q else index["postings"].limit(0)
@@ -80,7 +95,7 @@ def scores(index: dict[str, DataFrame], query: str, repos: list[str] | None = No
     docs = index["documents"] if repos is None else index["documents"].where(F.col("repo").isin(repos))
     boost = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in BOOSTS.items() for x in kv]), F.col("field")), F.lit(1.0))
     hits = post.join(docs, "doc_id").select("term", "key", "field", boost.alias("w")).groupBy("term", "key", "field").agg(F.max("w").alias("w"))
-    return hits.join(df, "term").groupBy("key").agg(F.sum(F.log(1 + n / F.col("df")) * F.col("w")).alias("score"))
+    return hits.join(df, "term").groupBy("key").agg(F.round(F.sum(F.log(1 + n / F.col("df")) * F.col("w")), 9).alias("score"))
 
 
 def alias_keys(index: dict[str, DataFrame], query: str, repos: list[str] | None = None) -> DataFrame:

@@ -162,9 +162,15 @@ def _index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return lexical.build(T.lexical_docs(spark, d))
 
 
-@query(_TERMS + "select cast(n as bigint) as doc_id, field, term from post")
+@query(_TERMS + "select key, field, term, cast(count(*) as bigint) as n from post group by 1, 2, 3")
 def lexical_postings(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d)["postings"].select("doc_id", "field", "term")
+    i = _index(spark, d)
+    return i["postings"].join(i["documents"], "doc_id").groupBy("key", "field", "term").agg(F.count("*").alias("n"))
+
+
+@query(_TERMS + "select repo, cast(min(n) as bigint) as first, cast(max(n) as bigint) as last, cast(count(distinct n) as bigint) as n_docs from ok group by 1")
+def document_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d)["documents"].groupBy("repo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 @query(_TERMS + "select term, cast(count(distinct n) as bigint) as df from post group by 1")
@@ -175,7 +181,7 @@ def doc_freq(spark: SparkSession, d: str) -> DataFrame:
 _SCORED = _TERMS + """, q as (select unnest(['the', 'of', 'and', 're', 'ention']) as term),
 df as (select term, count(distinct n) as df from post join q using (term) group by 1),
 best as (select term, key, field, max(case field when 'label' then 3.0 when 'path' then 1.5 else 1.0 end) as w from post join q using (term) where repo in ('src0', 'src1', 'src2') group by 1, 2, 3),
-lex as (select key, sum(ln(1 + (select count(*) from ok) / df) * w) as score from best join df using (term) group by 1)
+lex as (select key, round(sum(ln(1 + (select count(*) from ok) / df) * w), 9) as score from best join df using (term) group by 1)
 """
 
 
