@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import written
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 17
 #: Labelled rows that the target model may use: a bound on the set of ids that is broadcast (8 bytes each).
 LABELLED = 20_000
 SEED = 7
@@ -39,7 +39,7 @@ def _hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(per)
     keep[2 * ends[per > 0] - 1] = False  # no pair goes beyond its text
     out *= np.uint64(0xD6E8FEB86659FD93)
-    buckets = (out >> np.uint64(48)).astype(np.int64) % BUCKETS
+    buckets = (out >> np.uint64(40)).astype(np.int64) % BUCKETS
     return buckets[keep], np.maximum(2 * per - 1, 0)
 
 
@@ -81,8 +81,29 @@ def model(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     rows = rows[rows["k"] >= 0]
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[rows["k"]], target[rows["k"]] = rows["raw"], rows["target"]
-    smooth = lambda c: np.log((c + 0.5) / (c.sum() + 0.5 * BUCKETS))
-    return smooth(target) - smooth(raw), n
+    return ratios(raw, target), n
+
+
+#: Pseudo-counts by which each bucket's target count is drawn to what its raw count lets expect.
+SHRINK = 20.0
+
+
+def ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log ratio of the target to the raw model by bucket.
+
+    The raw model is scaled so that the middle feature of target text has ratio zero: junk takes part of the raw mass,
+    and without this each ordinary word would add the same small amount, so that weights would measure length. Counts
+    are drawn to that model by SHRINK pseudo-counts, so that rare features, which only tell which texts were labelled,
+    say next to nothing; and what chance takes from the logarithm on average is given back, for the same reason.
+    """
+    if not target.sum():
+        return np.zeros(len(raw))
+    heavy = np.flatnonzero(target >= min(30, np.quantile(target[target > 0], 0.9)))
+    part = target[heavy] / raw[heavy]
+    order = np.argsort(part, kind="stable")
+    mass = np.cumsum(target[heavy][order])
+    expected = raw * part[order][np.searchsorted(mass, mass[-1] / 2)]
+    return np.log((target + SHRINK) / (expected + SHRINK)) + 0.5 * expected / (expected + SHRINK) ** 2
 
 
 def weighed(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
