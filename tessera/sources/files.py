@@ -29,8 +29,8 @@ _CODE_2 = (
 )
 _TEXT_2 = ".md .mdx .rst .txt"
 _NAMES = "apm.yml apm.yaml pyproject.toml cargo.toml go.mod pom.xml"
-_LOCKS = "package-lock.json yarn.lock pnpm-lock.yaml Cargo.lock poetry.lock Gemfile.lock composer.lock go.sum go.work.sum .graphifyinclude"
-PRUNED = ".git node_modules vendor graphify-out docs doc __pycache__ .venv venv dist build .idea .vscode target site-packages .pytest_cache .mypy_cache .ruff_cache .tox .nox .eggs __snapshots__ .next .nuxt .turbo .cache".split()
+_LOCKS = "package-lock.json yarn.lock pnpm-lock.yaml Cargo.lock poetry.lock Gemfile.lock composer.lock go.sum go.work.sum"
+PRUNED = ".git node_modules vendor docs doc __pycache__ .venv venv dist build .idea .vscode target site-packages .pytest_cache .mypy_cache .ruff_cache .tox .nox .eggs __snapshots__ .next .nuxt .turbo .cache".split()
 
 
 def _set(words: str) -> frozenset[str]:
