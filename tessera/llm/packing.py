@@ -45,14 +45,12 @@ class Encoder:
     """
 
     #: Words kept, at most; the memory they take is bounded, the ids are not changed.
-    KEEP = 400_000
+    KEEP = 120_000
     #: Characters encoded at once.
-    CHUNK = 1 << 22
+    CHUNK = 1 << 20
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
+        self.path, self._library = path, None
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         self.quick = self._quick(spec)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -77,6 +75,15 @@ class Encoder:
             return None
         return tiktoken.Encoding("file", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def whole(self):
+        """The library's tokenizer, loaded when a text first needs it."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def _slow(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 

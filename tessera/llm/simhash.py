@@ -26,7 +26,7 @@ TILE = 16_384
 #: Hashes gathered before their bits are counted.
 GATHER = 1 << 17
 #: Lanes of the one-byte MinHash sketch that the optional likeness check reads.
-LANES = 96
+LANES = 64
 
 
 def shingle_hashes(data: bytes, k: int, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
@@ -63,7 +63,7 @@ def _minima(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint_texts(texts: list[str | None], k: int, sketch: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes] | None]:
+def fingerprint_texts(texts: list[str | None], k: int, sketch: bool = False) -> tuple[np.ndarray, np.ndarray, list[list[int]] | None]:
     """Fingerprints (int64), shingle counts and, if asked, sketches of whole texts; null and wordless texts have zero."""
     n = len(texts)
     counts, sizes = np.zeros((n, 64), np.int64), np.zeros(n, np.int64)
@@ -98,7 +98,7 @@ def fingerprint_texts(texts: list[str | None], k: int, sketch: bool = False) ->
     marks = None
     if sketch:
         mixed = lows * np.uint64(0xD6E8FEB86659FD93)
-        marks = [row.tobytes() for row in (mixed >> np.uint64(56)).astype(np.uint8)]
+        marks = (mixed >> np.uint64(56)).astype(np.uint8).view(np.int64).tolist()
     return _fold(counts, sizes), sizes, marks
 
 
@@ -106,14 +106,14 @@ def fingerprints(docs: DataFrame, k: int, sketch: bool = False, id_col: str = "d
     """(id, fp[, n, sketch]) for each row; further columns, of whatever name, are left out. Null text: fingerprint 0."""
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fp", T.LongType())]
     if sketch:
-        fields += [T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType())]
+        fields += [T.StructField("n", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType(), False))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp, n, marks = fingerprint_texts(b.column(1).to_pylist(), k, sketch)
             cols = [b.column(0), pa.array(fp, pa.int64())]
             if sketch:
-                cols += [pa.array(n, pa.int64()), pa.array(marks, pa.binary())]
+                cols += [pa.array(n, pa.int64()), pa.array(marks, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
 
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
@@ -152,10 +152,13 @@ def links(distinct: DataFrame, radius: int, likeness: float | None = None, tile:
     also agree on at least that share of the sketch's lanes, and their shingle counts must allow it.
     """
     spark = distinct.sparkSession
-    by = {r["p"]: r["c"] for r in distinct.groupBy(F.bit_count("fp").alias("p")).agg(F.count("*").alias("c")).collect()}  # 65 rows at most
-    blocks = [-(-by.get(p, 0) // tile) for p in range(65)]
+    # a class is a few neighbouring population counts, the more the wider the radius; classes this far apart can hold links
+    wide = max(1, radius // 4)
+    reach, top = (radius + wide - 1) // wide, 64 // wide
+    p, h = F.floor(F.bit_count("fp") / wide).cast("int"), F.xxhash64("fp", "node")
+    by = {r["p"]: r["c"] for r in distinct.groupBy(p.alias("p")).agg(F.count("*").alias("c")).collect()}  # 65 rows at most
+    blocks = [-(-by.get(x, 0) // tile) for x in range(top + 1)]
     m = F.array(*[F.lit(x) for x in blocks])
-    p, h = F.bit_count("fp").cast("int"), F.xxhash64("fp", "node")
     cut = F.element_at(m, p + 1)
     tiles = (
         distinct.select("node", "fp", *(["n", "sketch"] if likeness else []), p.alias("p"), F.pmod(h, F.greatest(cut, F.lit(1))).cast("int").alias("i"))
@@ -163,9 +166,9 @@ def links(distinct: DataFrame, radius: int, likeness: float | None = None, tile:
         .agg(F.collect_list(F.struct("node", "fp", *(["n", "sketch"] if likeness else []))).alias("rows"))
     )
     # written once: both copies below read the same tiles
-    tiles = written(tiles.select("p", "i", F.col("rows.node").alias("node"), F.col("rows.fp").alias("fp"), *([F.col("rows.n").alias("n"), F.array_join(F.transform("rows.sketch", lambda x: F.hex(x)), "").alias("sketch")] if likeness else [])), "tiles")
-    upper = f"transform(sequence(p, least(64, p + {radius})), q -> transform(filter(sequence(0, greatest(0, element_at(blocks, q + 1) - 1)), j -> j < element_at(blocks, q + 1) and (q > p or j >= i)), j -> named_struct('p1', p, 'i1', i, 'p2', q, 'j2', j)))"
-    lower = f"transform(sequence(greatest(0, p - {radius}), p), q -> transform(filter(sequence(0, greatest(0, element_at(blocks, q + 1) - 1)), j -> j < element_at(blocks, q + 1) and (q < p or j < i)), j -> named_struct('p1', q, 'i1', j, 'p2', p, 'j2', i)))"
+    tiles = written(tiles.select("p", "i", F.col("rows.node").alias("node"), F.col("rows.fp").alias("fp"), *([F.col("rows.n").alias("n"), F.flatten("rows.sketch").alias("sketch")] if likeness else [])), "tiles")
+    upper = f"transform(sequence(p, least({top}, p + {reach})), q -> transform(filter(sequence(0, greatest(0, element_at(blocks, q + 1) - 1)), j -> j < element_at(blocks, q + 1) and (q > p or j >= i)), j -> named_struct('p1', p, 'i1', i, 'p2', q, 'j2', j)))"
+    lower = f"transform(sequence(greatest(0, p - {reach}), p), q -> transform(filter(sequence(0, greatest(0, element_at(blocks, q + 1) - 1)), j -> j < element_at(blocks, q + 1) and (q < p or j < i)), j -> named_struct('p1', q, 'i1', j, 'p2', p, 'j2', i)))"
     t = tiles.withColumn("blocks", m)
     rest = ["p", "i", "node", "fp", *(["n", "sketch"] if likeness else [])]
     copies = t.select(F.explode(F.flatten(F.expr(upper))).alias("pair"), F.lit(0).alias("side"), *rest).union(t.select(F.explode(F.flatten(F.expr(lower))).alias("pair"), F.lit(1).alias("side"), *rest))
@@ -181,7 +184,7 @@ def links(distinct: DataFrame, radius: int, likeness: float | None = None, tile:
                 side = row.column(4)[0].as_py()
                 now = [row.column(i)[0].values.to_numpy() for i in range(5, 8 if likeness else 7)]
                 if likeness:
-                    now.append(np.frombuffer(bytes.fromhex(row.column(8)[0].as_py()), np.uint8).reshape(-1, LANES))
+                    now.append(row.column(8)[0].values.to_numpy().view(np.uint8).reshape(-1, LANES))
                 if side == 0 and key[:2] != key[2:]:
                     first = now
                     continue

@@ -53,7 +53,7 @@ def units(docs: DataFrame, min_words: int, id_col: str = "doc_id", text_col: str
                 for u in text_units(t or "", min_words):
                     at.append(i)
                     rows.append(u)
-                if len(rows) >= 200_000:
+                if len(rows) >= 50_000:
                     yield out()
                     at.clear()
                     rows.clear()
