@@ -26,7 +26,9 @@ TILE = 16_384
 #: Hashes gathered before their bits are counted.
 GATHER = 1 << 17
 #: Lanes of the one-byte MinHash sketch that the optional likeness check reads.
-LANES = 64
+LANES = 128
+#: How far below the likeness the sketch may estimate it: some two standard errors of LANES lanes at 0.8.
+SLACK = 0.07
 
 
 def shingle_hashes(data: bytes, k: int, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
@@ -195,7 +197,7 @@ def links(distinct: DataFrame, radius: int, likeness: float | None = None, tile:
                     nx, nj = left[2][x], other[2][j]
                     fits = np.minimum(nx, nj) >= likeness * np.maximum(nx, nj)
                     same = (left[3][x][None, :] == other[3][j]).mean(axis=1)
-                    return fits & ((same * 256 - 1) / 255 >= likeness - 0.05)
+                    return fits & ((same * 256 - 1) / 255 >= likeness - SLACK)
 
                 a, b = _pairs_within(left[1], right[1] if right else None, radius, check if likeness else None)
                 nodes = left[0] if right is None else np.concatenate([left[0], right[0]])
@@ -226,7 +228,7 @@ def groups(docs: DataFrame, k: int = 5, radius: int = 4, likeness: float | None
     return f.select(id_col, "fp", "node").join(by_node, "node").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, k: int = 5, radius: int = 14, likeness: float | None = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 5, radius: int = 16, likeness: float | None = 0.8) -> DataFrame:
     """docs without near-duplicates: of each group the row with its smallest doc_id stays, with all its columns.
 
     Rows with a null doc_id stay. Of rows that repeat the smallest doc_id, all stay.
