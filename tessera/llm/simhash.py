@@ -124,7 +124,9 @@ def fingerprints(docs: DataFrame, k: int, sketch: bool = False, id_col: str = "d
 def _pairs_within(a: np.ndarray, b: np.ndarray | None, radius: int, check) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest, as index pairs into a ++ b, of the links between a and b (b None: within a)."""
     own = b is None
-    right = a if own else b
+    # numpy counts the bits of a signed number's absolute value
+    a = a.view(np.uint64)
+    right = a if own else b.view(np.uint64)
     off = 0 if own else len(a)
     root = np.arange(off + len(right))
     made: list[tuple[int, int]] = []

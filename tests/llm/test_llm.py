@@ -103,6 +103,21 @@ def test_simhash_tiles_agree(spark, docs):
         assert {frozenset(v) for v in got.values()} == {x for x in want if len(x) > 1}
 
 
+def test_simhash_tiles_see_the_top_bit(spark):
+    r = random.Random(9)
+    near = [r.getrandbits(64) for _ in range(150)]
+    near += [x ^ (1 << 63) ^ sum(1 << b for b in r.sample(range(63), r.randint(0, 3))) for x in near]
+    signed = sorted({x - (1 << 64) if x >> 63 else x for x in near})
+    f = spark.createDataFrame([(x,) for x in signed], "fp long").withColumn("node", F.col("fp"))
+    label = closure(len(signed), lambda a, b: ((signed[a] ^ signed[b]) % (1 << 64)).bit_count() <= 4)
+    want = {frozenset(x for x, c in zip(signed, label) if c == k) for k in set(label)}
+    for tile in (20, 10_000):
+        got = collections.defaultdict(set)
+        for x in components.components(simhash.links(f, 4, tile=tile)).collect():
+            got[x["label"]].add(x["node"])
+        assert {frozenset(v) for v in got.values()} == {x for x in want if len(x) > 1}
+
+
 def test_near_copies_go(docs, corpus, empty):
     kept = simhash.keep_one(docs, 5, 14, 0.8)
     assert kept.columns == docs.columns
