@@ -66,9 +66,9 @@ def _minima(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def fingerprint_texts(texts: list[str | None], k: int, sketch: bool = False) -> tuple[np.ndarray, np.ndarray, list[list[int]] | None]:
-    """Fingerprints (int64), shingle counts and, if asked, sketches of whole texts; null and wordless texts have zero."""
+    """Fingerprints (int64) of whole texts and, if asked, counts of distinct shingles and sketches; null and wordless texts have zero."""
     n = len(texts)
-    counts, sizes = np.zeros((n, 64), np.int64), np.zeros(n, np.int64)
+    counts, sizes, distinct = np.zeros((n, 64), np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     lows = np.full((n, LANES), np.iinfo(np.uint64).max) if sketch else None
     waiting: list[np.ndarray] = []
     owners: list[int] = []
@@ -90,18 +90,23 @@ def fingerprint_texts(texts: list[str | None], k: int, sketch: bool = False) ->
         held = 0
 
     for i, text in enumerate(texts):
+        seen: list[np.ndarray] = []
         for part in shingle_hashes((text or "").encode(), k, GATHER):
+            if sketch:
+                seen.append(part)
             waiting.append(part)
             owners.append(i)
             held += len(part)
             if held >= GATHER:
                 flush()
+        if seen:
+            distinct[i] = len(np.unique(np.concatenate(seen)))
     flush()
     marks = None
     if sketch:
         mixed = lows * np.uint64(0xD6E8FEB86659FD93)
         marks = (mixed >> np.uint64(56)).astype(np.uint8).view(np.int64).tolist()
-    return _fold(counts, sizes), sizes, marks
+    return _fold(counts, sizes), distinct, marks
 
 
 def fingerprints(docs: DataFrame, k: int, sketch: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,7 +158,7 @@ def links(distinct: DataFrame, radius: int, likeness: float | None = None, tile:
     """Links (a, b) that span the components of 'at most radius bits differ' over distinct fingerprints.
 
     distinct: a row for each node: node (long, unique), fp and, where likeness is given, n and sketch; then links must
-    also agree on at least that share of the sketch's lanes, and their shingle counts must allow it.
+    also agree on at least that share of the sketch's lanes, and their counts of distinct shingles (n) must allow it.
     """
     spark = distinct.sparkSession
     # a class is a few neighbouring population counts, the more the wider the radius; classes this far apart can hold links
@@ -212,13 +217,14 @@ def links(distinct: DataFrame, radius: int, likeness: float | None = None, tile:
 def groups(docs: DataFrame, k: int = 5, radius: int = 4, likeness: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) for each row of docs: the near-duplicate group it belongs to.
 
-    Two fingerprints link at radius or fewer differing bits (and, with likeness, when their sketches agree that far).
+    Two fingerprints link at radius or fewer differing bits (and, with likeness, when their sketches agree that far and their counts of distinct
+    shingles allow it).
     component_id is the smallest id reachable, the row's own included. Null text and texts without words have
     fingerprint zero and link like any other. Rows with a null id are grouped too; a group of such rows alone has a
     null component_id. Repeated rows share their group. An empty table gives an empty result.
     """
     f = written(fingerprints(docs, k, likeness is not None, id_col, text_col), "fingerprints")
-    node = F.xxhash64("fp", "sketch") if likeness is not None else F.col("fp")
+    node = F.xxhash64("fp", "sketch", "n") if likeness is not None else F.col("fp")
     f = f.withColumn("node", node)
     more = [F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch")] if likeness is not None else [F.first("fp").alias("fp")]
     distinct = written(f.groupBy("node").agg(F.min(id_col).alias("rep"), *more), "distinct")

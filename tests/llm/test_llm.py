@@ -127,6 +127,16 @@ def test_near_copies_go(docs, corpus, empty):
     assert simhash.keep_one(empty, 5, 14, 0.8).count() == 0 and simhash.groups(empty).count() == 0
 
 
+def test_copies_that_repeat_themselves_go(spark):
+    r = random.Random(4)
+    one, footer = (" ".join(f"w{r.randrange(10**6)}" for _ in range(n)) for n in (300, 20))
+    texts = [one, f"{one} {one}", one[:900], f"{one} {footer}", f"{one} {' '.join([footer] * 5)}"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(d, 5, 32, 0.8).collect()} == {0, 2}
+    _, n, _ = simhash.fingerprint_texts(["a b c a b c a b c", None, "a b"], 3, True)
+    assert n.tolist() == [3, 0, 1]
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
