@@ -23,8 +23,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated units go, but for the earliest; a document that loses all its words goes with them."""
-    return units.cleaned(docs).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    """Repeated units and runs of short ones go, but for the earliest; a document that loses all its words goes with them."""
+    return units.cleaned(docs, runs=True).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
 
 
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,8 +35,38 @@ def text_units(text: str, min_words: int) -> Iterator[tuple[int, int, int, int]]
             yield m.start(), m.end(), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-def units(docs: DataFrame, min_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, s, e, d1, d2): all units of all rows; th is a hash of the text, which tells rows of one id apart."""
+def text_runs(text: str, min_words: int) -> Iterator[tuple[int, int, int, int]]:
+    """text_units, and for each shorter unit the shortest runs of neighbouring units, after and before it, that have min_words words.
+
+    A run depends on what it holds alone, so a copied passage of min_words words has the same runs wherever it stands,
+    and each of its short units is in one of them. Cuts inside numbers and names are healed by the run across them.
+    """
+    cuts = [(m.start(), m.end(), len(m.group().encode().split())) for m in _UNIT.finditer(text)]
+    yield from text_units(text, min_words)
+    found = set()
+    for i, (_, _, n) in enumerate(cuts):
+        if not 0 < n < min_words:
+            continue
+        j, have = i, n
+        while have < min_words and j + 1 < len(cuts):
+            j += 1
+            have += cuts[j][2]
+        if have >= min_words:
+            found.add((cuts[i][0], cuts[j][1]))
+        j, have = i, n
+        while have < min_words and j > 0:
+            j -= 1
+            have += cuts[j][2]
+        if have >= min_words:
+            found.add((cuts[j][0], cuts[i][1]))
+    for s, e in sorted(found):
+        d = xxhash.xxh3_128_digest(b" ".join(text[s:e].encode().lower().split()))
+        yield s, e, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+
+def units(docs: DataFrame, min_words: int, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
+    """(id, th, s, e, d1, d2): all units, with runs also runs of short ones, of all rows; th is a hash of the text, which tells rows of one id apart."""
+    cut = text_runs if runs else text_units
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("th", "s", "e", "d1", "d2"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +80,7 @@ def units(docs: DataFrame, min_words: int, id_col: str = "doc_id", text_col: str
                 return pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *cols], schema.names)
 
             for i, t in enumerate(b.column(2).to_pylist()):
-                for u in text_units(t or "", min_words):
+                for u in cut(t or "", min_words):
                     at.append(i)
                     rows.append(u)
                 if len(rows) >= 50_000:
@@ -63,18 +93,21 @@ def units(docs: DataFrame, min_words: int, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t")).mapInArrow(run, schema)
 
 
-def repeats(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
     """(id, th, spans): for each row that loses something, the spans (s, e) of its repeated units, in order.
 
     Of units with one digest the one of the smallest id stays (null last), then of the smallest text hash, then the
-    first in its text; all others go. Rows alike in id and text count as one document.
+    first in its text; all others go. Rows alike in id and text count as one document. With runs, runs of short units
+    go as well, their spans may overlap, and a run that overlaps the first of its digest stays.
     """
-    u = written(units(docs, min_words, id_col, text_col), "units")
+    u = written(units(docs, min_words, id_col, text_col, runs), "units")
     often = u.groupBy("d1", "d2").agg(F.count("*").alias("c")).where("c > 1").select("d1", "d2")
     found = written(u.join(often, ["d1", "d2"]), "repeated")
     rank = F.struct(F.col("id").isNull().alias("x"), F.col("id"), F.col("th"), F.col("s"))
-    first = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"))
+    first = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), *([F.min_by("e", rank).alias("until")] if runs else []))
     gone = found.join(first, ["d1", "d2"]).where(rank != F.col("first"))
+    if runs:
+        gone = gone.where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("s") < F.col("until"))))
     return gone.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
 
 
@@ -84,18 +117,18 @@ def _without(text: str | None, spans) -> str | None:
     out, at = [], 0
     for x in spans:
         out.append(text[at : x["s"]])
-        at = x["e"]
+        at = max(at, x["e"])
     out.append(text[at:])
     return "".join(out)
 
 
-def cleaned(docs: DataFrame, min_words: int = 5, spans: str | None = None) -> DataFrame:
-    """docs, with all their columns, without repeated units; n_chars, where there is one, is made to fit.
+def cleaned(docs: DataFrame, min_words: int = 5, spans: str | None = None, runs: bool = False) -> DataFrame:
+    """docs, with all their columns, without repeated units (with runs, nor repeated runs of short ones); n_chars, where there is one, is made to fit.
 
     spans: a further column for the removed spans, with original offsets. Null texts stay null; empty texts and an
     empty table pass through; a document can lose all its text and then has an empty one.
     """
-    gone = repeats(docs, min_words).select(F.struct("id", "th", "spans").alias(fresh("_gone", docs.columns)))
+    gone = repeats(docs, min_words, runs=runs).select(F.struct("id", "th", "spans").alias(fresh("_gone", docs.columns)))
     g = gone.columns[0]
     name = spans or fresh("_spans", docs.columns)
     df = docs.join(gone, docs["doc_id"].eqNullSafe(gone[f"{g}.id"]) & (F.xxhash64(docs["text"]) == gone[f"{g}.th"]), "left").withColumn(name, F.col(f"{g}.spans"))

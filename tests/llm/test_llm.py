@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm import components, mixing, multiset, packing, queries, resample, rules, simhash, tokencount, units, warc
 from tessera.llm.common import table
 
@@ -206,6 +207,14 @@ def test_units_offsets_are_original():
     assert [t[s:e] for s, e, *_ in got] == ["A first line here now.\n", "Second one is long enough. "]
 
 
+def test_repeated_short_lines_go(spark):
+    verse = "O rose!\nThou art sick.\nThe worm,\nunseen.\nSee 3.14 at a.example.org now.\n"
+    texts = [f"Here begins the first text of all. {verse}Its own last words are these.", f"No.\n{verse}Yes.", f"{verse}{verse}", "la la\n" * 9, "One.\nTwo.\nThree.\nFour.\n", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, d, "").collect()}
+    assert kept == {0: texts[0], 1: "No.\nYes.", 3: "la la\n" * 3, 4: texts[4]}
+
+
 def brute_rules(t):
     t = t or ""
     w = words_of(t)
