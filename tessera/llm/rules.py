@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import BLANKS, words, written
 
 SYMBOLS = "#*$%&|<>"
+#: What ends a sentence or clause in a line: also closing quotes and brackets, and the marks of other scripts.
+LINE_END = "[.!?;:…\"'”’»)\\]。！？；：．｡」』）।؟۔]$"
+#: Lines that can be looked at for their end: five words or more, so lists, tables and scripts without blanks are left out.
+LONG_LINE = r"^\s*+(?:\S++\s++){4}\S"
 LETTERS_UPPER = "[A-ZÀ-ÖØ-Þ]"
 
 
@@ -44,7 +48,8 @@ def measured(docs: DataFrame, into: str, text_col: str = "text") -> DataFrame:
     df = df.withColumn(s, F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.expr(f"transform(`{h}`, (x, i) -> named_struct('h', x, 'p', i))"))))
     df = df.withColumn(p, F.when(F.col(s).isNotNull(), F.sort_array(F.expr(f"transform(filter(`{s}`, (x, i) -> coalesce(x.h = get(`{s}`, i - 1).h, false) or coalesce(x.h = get(`{s}`, i + 1).h, false)), x -> x.p)"))))
     covered = F.expr(f"aggregate(transform(`{p}`, (x, i) -> least(3, coalesce(get(`{p}`, i + 1) - x, 3))), 0L, (c, x) -> c + x)")
-    ended = F.filter(F.col(a), lambda x: F.rtrim(x).rlike("[.?…\"”)]$"))
+    sentences = F.filter(F.col(a), lambda x: x.rlike(LONG_LINE))
+    ended = F.filter(sentences, lambda x: F.rtrim(x).rlike(LINE_END))
     out = F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.coalesce(F.char_length(F.array_join(w, "")), F.lit(0)).cast("long").alias("word_chars"),
@@ -52,6 +57,7 @@ def measured(docs: DataFrame, into: str, text_col: str = "text") -> DataFrame:
         (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size(a).cast("long").alias("n_lines"),
+        F.size(sentences).cast("long").alias("n_long_lines"),
         F.size(ended).cast("long").alias("n_ended"),
         _count(F.col(t), "!").alias("n_shouts"),
         (F.char_length(t) - F.char_length(F.regexp_replace(t, LETTERS_UPPER, ""))).cast("long").alias("n_upper"),
@@ -73,7 +79,7 @@ def votes(m: str) -> list[Column]:
         return F.when(x.isNull(), 0).when(bad, -1).when(good, 1).otherwise(0).cast("int")
 
     n, mean, sym, dup = F.col(f"{m}.n_words"), share("word_chars", "n_words"), share("n_symbols", "n_words"), share("n_dup_lines", "n_lines")
-    rep, shout, upper, end = share("n_repeat_words", "n_words"), share("n_shouts", "n_words"), share("n_upper", "word_chars"), share("n_ended", "n_lines")
+    rep, shout, upper, end = share("n_repeat_words", "n_words"), share("n_shouts", "n_words"), share("n_upper", "word_chars"), share("n_ended", "n_long_lines")
     return [
         rule(n, n >= 100, n < 10),
         rule(mean, mean.between(3.0, 10.0), (mean < 2.0) | (mean > 14.0)),
@@ -116,12 +122,13 @@ class Model:
         return self.classes(pattern)[0]
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, trust: float = 4.0, precise: float = 0.998) -> Model:
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, trust: float = 1000.0, precise: float = 0.998) -> Model:
     """Expectation-maximisation over counted vote patterns. No patterns: an even model.
 
     It begins from 'no bad vote is good; a bad vote of rule j is of kind j'. Rules are written not to vote bad on good
-    documents: each has trust pseudo-votes a document there, of which the share precise are good; without them a rule
-    that no other agrees with would be taken for an inaccurate one. One pseudo-count on each side keeps every chance
+    documents: each has trust pseudo-votes there, whatever the number of documents, of which the share precise are good;
+    without them a rule that no other agrees with could be taken for an inaccurate one where documents are few, and the
+    more documents there are, the more they alone tell. One pseudo-count on each side keeps every chance
     inside (0, 1). Patterns are taken in sorted order, so reruns agree.
     """
     patterns = sorted(patterns)
@@ -141,7 +148,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, trust: f
             for j in range(k):
                 yes = sum(w for w, (p, _) in zip(weight, patterns, strict=True) if p[j] > 0)
                 no = sum(w for w, (p, _) in zip(weight, patterns, strict=True) if p[j] < 0)
-                more = 0.0 if c else trust * n
+                more = 0.0 if c else trust
                 row.append((yes + precise * more + 1) / (yes + no + more + 2))
             chance.append(row)
         model = Model(share, chance)

@@ -275,6 +275,20 @@ def brute_targets(sizes):
         capped |= over
 
 
+def test_rules_prior_yields_to_data(spark):
+    assert rules.fit([((1, 1), 100_000), ((-1, -1), 10)]).chance[0][0] > 0.9999
+    sf = "/root/testdata/sf0.01"
+    clean = queries.op7_rules(spark, sf).select("doc_id", "base_failed", "kept").join(table(spark, sf, "labels"), "doc_id").where("not base_failed and quality = 1")
+    assert clean.count() > 300 and clean.where("not kept").count() == 0
+
+
+def test_line_ends_vote_where_they_apply(spark):
+    line = "these are more than five words"
+    texts = [f"{line}!\n{line};\n{line}:\n{line}。", f"{line}\n{line}", "milk\nbread\nbutter", "一二三四五六七八九十。\n一二三"]
+    d = rules.measured(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "m")
+    assert [r["v"] for r in d.orderBy("doc_id").select(rules.votes("m")[7].alias("v")).collect()] == [1, -1, 0, 0]
+
+
 def test_mixing(docs, corpus, empty, monkeypatch):
     sizes = collections.Counter()
     for r in corpus:
