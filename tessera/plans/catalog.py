@@ -132,8 +132,7 @@ def list_repos_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def louvain_communities(spark: SparkSession, d: str) -> DataFrame:
-    g = T.trade(spark, d)
-    return community.cluster(Graph(g.nodes.where("kind in ('region', 'nation', 'supplier')"), g.edges.where("relation in ('part_of', 'located_in')")))
+    return community.cluster(T.trade(spark, d))
 
 
 @query()

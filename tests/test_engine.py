@@ -408,3 +408,13 @@ def test_pointer_and_prune(spark, tmp_path):
         publish.flip(root, "nope")
     with pytest.raises(ValueError, match="manifest"):
         publish.write(root, "x", {}, {})
+
+
+def test_communities_are_of_the_whole_trade_graph(spark):
+    from tessera.plans.catalog import louvain_communities
+    from tessera.sources import testdata
+
+    sf = "/root/testdata/sf0.001"
+    got = [(r["id"], r["repo"]) for r in louvain_communities(spark, sf).collect()]
+    assert sorted(got) == sorted((r["id"], r["owner"]) for r in G.owners(testdata.trade(spark, sf)).collect())
+    assert {"customer", "order", "supplier"} <= {i.split(":")[2] for i, _ in got if "::" in i}
