@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import words, written
-from .rules import fresh
+from .common import fresh, words, written
 
 #: Rows of a source in one range of keys, about.
 RANGE_ROWS = 20_000

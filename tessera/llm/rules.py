@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BLANKS, words, written
+from .common import BLANKS, fresh, words, written
 
 SYMBOLS = "#*$%&|<>"
 #: What ends a sentence or clause in a line: also closing quotes and brackets, and the marks of other scripts.
@@ -20,13 +20,9 @@ LINE_END = "[.!?;:…\"'”’»)\\]。！？；：．｡」』）।؟۔]$"
 #: Lines that can be looked at for their end: five words or more, so lists, tables and scripts without blanks are left out.
 LONG_LINE = r"^\s*+(?:\S++\s++){4}\S"
 LETTERS_UPPER = "[A-ZÀ-ÖØ-Þ]"
-
-
-def fresh(name: str, taken: Sequence[str]) -> str:
-    """name, or name with underscores before it, so that no column of the caller's is hidden."""
-    while name.lower() in {t.lower() for t in taken}:
-        name = f"_{name}"
-    return name
+#: A word with a symbol in it: found at the word's start alone, so that long words are read once.
+SYMBOL_WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D#*$%&|<>]*+[#*$%&|<>]"
+LETTERS = r"[\p{L}\p{M}]++"
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -61,6 +57,8 @@ def measured(docs: DataFrame, into: str, text_col: str = "text") -> DataFrame:
         F.size(ended).cast("long").alias("n_ended"),
         _count(F.col(t), "!").alias("n_shouts"),
         (F.char_length(t) - F.char_length(F.regexp_replace(t, LETTERS_UPPER, ""))).cast("long").alias("n_upper"),
+        F.regexp_count(F.col(t), F.lit(SYMBOL_WORD)).cast("long").alias("n_symbol_words"),
+        (F.char_length(t) - F.char_length(F.regexp_replace(t, LETTERS, ""))).cast("long").alias("n_letters"),
     )
     return df.withColumn(into, out).drop(t, w, a, h, s, p)
 
@@ -80,6 +78,7 @@ def votes(m: str) -> list[Column]:
 
     n, mean, sym, dup = F.col(f"{m}.n_words"), share("word_chars", "n_words"), share("n_symbols", "n_words"), share("n_dup_lines", "n_lines")
     rep, shout, upper, end = share("n_repeat_words", "n_words"), share("n_shouts", "n_words"), share("n_upper", "word_chars"), share("n_ended", "n_long_lines")
+    marked, letters = share("n_symbol_words", "n_words"), share("n_letters", "word_chars")
     return [
         rule(n, n >= 100, n < 10),
         rule(mean, mean.between(3.0, 10.0), (mean < 2.0) | (mean > 14.0)),
@@ -89,101 +88,85 @@ def votes(m: str) -> list[Column]:
         rule(shout, shout < 0.05, shout > 0.15),
         rule(upper, upper < 0.15, upper > 0.3),
         rule(end, end > 0.5, end < 0.1),
+        rule(marked, marked < 0.05, marked > 0.2),
+        rule(letters, letters > 0.92, letters < 0.88),
     ]
 
 
 class Model:
-    """Latent classes of documents: good ones, and for each rule a kind of bad ones. share and chance are by class, good first.
-
-    chance[c][j]: how often rule j, if it votes, votes good in class c. Junk comes in kinds that break one or two rules
-    each; a single class of bad documents would take the good votes of all other rules as evidence for each of them.
-    """
+    """Two latent classes, good (0) and bad (1). share: how many documents each has; chance[c][j]: how often rule j, if it votes, votes good in class c."""
 
     def __init__(self, share: list[float], chance: list[list[float]]):
         self.share, self.chance = share, chance
 
     def accuracies(self) -> list[tuple[float, float]]:
         """For each rule how often its vote is good in good documents, and bad in bad ones."""
-        bad = sum(self.share[1:]) or 1.0
-        return [(self.chance[0][j], sum(s * (1 - c[j]) for s, c in zip(self.share[1:], self.chance[1:], strict=True)) / bad) for j in range(len(self.chance[0]))]
+        return [(good, 1 - bad) for good, bad in zip(*self.chance, strict=True)]
 
     def weights(self) -> list[tuple[float, list[tuple[float, float]]]]:
         """For each class the log of its share, and for each rule that of a good and of a bad vote."""
         return [(math.log(s), [(math.log(x), math.log(1 - x)) for x in c]) for s, c in zip(self.share, self.chance, strict=True)]
 
-    def classes(self, pattern: Sequence[int]) -> list[float]:
-        """The posterior probability of each class."""
-        logs = [s + sum(w[0] if v > 0 else w[1] if v < 0 else 0.0 for v, w in zip(pattern, each, strict=True)) for s, each in self.weights()]
-        top = max(logs)
-        e = [math.exp(x - top) for x in logs]
-        return [x / sum(e) for x in e]
-
     def posterior(self, pattern: Sequence[int]) -> float:
-        return self.classes(pattern)[0]
+        """The probability that a document with these votes is good."""
+        good, bad = (s + sum(w[0] if v > 0 else w[1] if v < 0 else 0.0 for v, w in zip(pattern, each, strict=True)) for s, each in self.weights())
+        return 1 / (1 + math.exp(min(700.0, bad - good)))
+
+
+#: Where expectation-maximisation begins: how good a document without a bad vote is, and one with any.
+BEGIN = (0.9, 0.1)
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, trust: float = 1000.0, precise: float = 0.998) -> Model:
-    """Expectation-maximisation over counted vote patterns. No patterns: an even model.
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> Model:
+    """Expectation-maximisation over counted vote patterns, as Dawid and Skene have it. No patterns: an even model.
 
-    It begins from 'no bad vote is good; a bad vote of rule j is of kind j'. Rules are written not to vote bad on good
-    documents: each has trust pseudo-votes there, whatever the number of documents, of which the share precise are good;
-    without them a rule that no other agrees with could be taken for an inaccurate one where documents are few, and the
-    more documents there are, the more they alone tell. One pseudo-count on each side keeps every chance
-    inside (0, 1). Patterns are taken in sorted order, so reruns agree.
+    It begins from BEGIN, which only says which class is the good one. All else comes from the votes: a rule whose bad
+    votes others share is taken for accurate, one that alone objects is outvoted. One pseudo-count on each side keeps
+    every chance inside (0, 1). Patterns are taken in sorted order, so reruns agree.
     """
     patterns = sorted(patterns)
     k = len(patterns[0][0]) if patterns else 0
     n = sum(c for _, c in patterns)
-    post = []
-    for p, _ in patterns:
-        bad = [j for j, v in enumerate(p) if v < 0]
-        post.append([0.0 if bad else 1.0, *(1 / len(bad) if j in bad else 0.0 for j in range(k))])
-    model, last = Model([1 / (k + 1)] * (k + 1), [[0.5] * k for _ in range(k + 1)]), None
+    post = [BEGIN[min(p, default=0) < 0] for p, _ in patterns]
+    model = Model([0.5, 0.5], [[0.5] * k, [0.5] * k])
     for _ in range(rounds if n else 0):
         share, chance = [], []
-        for c in range(k + 1):
-            weight = [q[c] * m for q, (_, m) in zip(post, patterns, strict=True)]
-            share.append((sum(weight) + 1) / (n + k + 1))
-            row = []
-            for j in range(k):
-                yes = sum(w for w, (p, _) in zip(weight, patterns, strict=True) if p[j] > 0)
-                no = sum(w for w, (p, _) in zip(weight, patterns, strict=True) if p[j] < 0)
-                more = 0.0 if c else trust
-                row.append((yes + precise * more + 1) / (yes + no + more + 2))
-            chance.append(row)
+        for c in (0, 1):
+            weight = [(1 - q if c else q) * m for q, (_, m) in zip(post, patterns, strict=True)]
+            share.append((sum(weight) + 1) / (n + 2))
+            yes = [sum(w for w, (p, _) in zip(weight, patterns, strict=True) if p[j] > 0) for j in range(k)]
+            no = [sum(w for w, (p, _) in zip(weight, patterns, strict=True) if p[j] < 0) for j in range(k)]
+            chance.append([(y + 1) / (y + x + 2) for y, x in zip(yes, no, strict=True)])
         model = Model(share, chance)
-        post = [model.classes(p) for p, _ in patterns]
-        now = [round(x, 9) for x in share]
-        if now == last:
+        now = [model.posterior(p) for p, _ in patterns]
+        if max(abs(a - b) for a, b in zip(now, post, strict=True)) < 1e-9:
             break
-        last = now
+        post = now
     return model
 
 
 def learn(votes_df: DataFrame, names: list[str]) -> Model:
     """The model of all rows of votes_df; only counts by pattern, at most 3 ** len(names) rows, come to the driver."""
     found = [(tuple(r[n] for n in names), r["_n"]) for r in votes_df.groupBy(*names).agg(F.count("*").alias("_n")).collect()]
-    k = len(names)
-    return fit(found) if found else Model([1 / (k + 1)] * (k + 1), [[0.5] * k for _ in range(k + 1)])
+    return fit(found) if found else Model([0.5, 0.5], [[0.5] * len(names)] * 2)
 
 
 def quality(model: Model, columns: list[Column]) -> Column:
+    """The posterior probability of good, from columns of votes."""
     logs = []
     for share, each in model.weights():
         x = F.lit(float(share))
         for c, (up, down) in zip(columns, each, strict=True):
             x = x + F.when(c > 0, F.lit(float(up))).when(c < 0, F.lit(float(down))).otherwise(F.lit(0.0))
         logs.append(x)
-    over = F.lit(1.0)
-    for x in logs[1:]:
-        over = over + F.exp(x - logs[0])
-    return 1 / over
+    return 1 / (1 + F.exp(F.least(logs[1] - logs[0], F.lit(700.0))))
 
 
 def judged(docs: DataFrame, threshold: float = 0.5, columns: list[str] | None = None) -> tuple[DataFrame, str]:
     """docs (those columns, or all) with a struct: the measures, base_failed, quality and kept; and that struct's name.
 
-    Documents are measured in one pass, written, counted and then judged. Null and empty texts fail the base rule.
+    Documents are measured in one pass, written, counted and then judged: kept are those that pass the base rule and are
+    good with that probability at least, whatever single rules say. Null and empty texts fail the base rule.
     Repeated rows are judged each, and alike. An empty table gives an empty result.
     """
     m = fresh("_rules", docs.columns)
