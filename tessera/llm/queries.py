@@ -65,28 +65,44 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_units, op3_suffixes, op4_resample, op5_multiset, op6_warc, op7_rules, op8_mixing, op9_packing, op10_tokens)}
 
-_UNITS = "regexp_extract_all(text, '[^.!?\\n]+[.!?\\n]*[ \\t\\n\\x0b\\x0c\\r]*|[.!?\\n]+[ \\t\\n\\x0b\\x0c\\r]*')"
+_BLANKS = "[ \\t\\n\\x0b\\x0c\\r]"
+_SENTENCES = f"regexp_extract_all(text, '{units.SENTENCE}')"
 
 SQL: dict[str, str] = {
     "op2_units": f"""
 with cut as (
-  select doc_id, unnest({_UNITS}) as unit, generate_subscripts({_UNITS}, 1) as i from documents where text is not null
+  select doc_id, unnest({_SENTENCES}) as part, generate_subscripts({_SENTENCES}, 1) as i from documents where text is not null
+), sized as (
+  select doc_id, i, cast(length(part) as bigint) as n, trim(regexp_replace(part, '{_BLANKS}+', ' ', 'g')) as bare from cut
 ), placed as (
-  select doc_id, unit, i, sum(length(unit)) over (partition by doc_id order by i) - length(unit) as s,
-         trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0b\\x0c\\r]+', ' ', 'g')) as norm
-  from cut
+  select doc_id, i, sum(n) over w - n as s, sum(n) over w as e, nw, sum(nw) over w as c
+  from (select *, case when bare = '' then 0 else length(bare) - length(replace(bare, ' ', '')) + 1 end as nw from sized)
+  window w as (partition by doc_id order by i)
+), runs as (
+  select a.doc_id, a.s, b.e from (select * from placed where nw > 0) a
+  asof join (select * from placed where nw > 0) b on a.doc_id = b.doc_id and a.c - a.nw + {units.LEAST} <= b.c
+), normal as (
+  select r.doc_id, r.s, r.e, trim(regexp_replace(translate(substring(text, cast(r.s + 1 as bigint), cast(r.e - r.s as bigint)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_BLANKS}+', ' ', 'g')) as norm
+  from runs r join documents d on r.doc_id = d.doc_id
 ), ranked as (
-  select *, row_number() over (partition by norm order by doc_id, s) as k, length(norm) - length(replace(norm, ' ', '')) + (case when norm = '' then 0 else 1 end) as n_words
-  from placed
-), judged as (select *, (n_words >= 5 and k > 1) as gone from ranked),
-folded as (
-  select doc_id, count(*) filter (where gone) as n_spans, coalesce(sum(length(unit)) filter (where gone), 0) as n_removed,
-         coalesce(string_agg(cast(s as bigint) || '-' || cast(s + length(unit) as bigint), ',' order by i) filter (where gone), '') as removed_spans,
-         coalesce(string_agg(unit, '' order by i) filter (where not gone), '') as kept
-  from judged group by doc_id
+  select *, row_number() over w as k, first_value(doc_id) over w as first_id, first_value(e) over w as first_e
+  from normal window w as (partition by norm order by doc_id, s)
+), gone as (
+  select doc_id, s, max(e) as e from ranked where k > 1 and not (doc_id = first_id and s < first_e) group by 1, 2
+), islands as (
+  select *, sum(fresh) over (partition by doc_id order by s) as island
+  from (select *, case when s <= max(e) over (partition by doc_id order by s rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from gone)
+), spans as (
+  select doc_id, cast(min(s) as bigint) as s, cast(max(e) as bigint) as e from islands group by doc_id, island
+), pieces as (
+  select p.*, text, coalesce(lag(e) over (partition by doc_id order by s), 0) as past from spans p join documents using (doc_id)
+), folded as (
+  select doc_id, count(*) as n_spans, sum(e - s) as n_removed, string_agg(s || '-' || e, ',' order by s) as removed_spans,
+         string_agg(substring(text, past + 1, s - past), '' order by s) || substring(any_value(text), max(e) + 1) as kept
+  from pieces group by doc_id
 )
 select d.doc_id, cast(length(coalesce(d.text, '')) as bigint) as n_chars, cast(coalesce(f.n_spans, 0) as bigint) as n_spans,
-       cast(coalesce(f.n_removed, 0) as bigint) as n_removed, coalesce(f.removed_spans, '') as removed_spans, sha256(coalesce(f.kept, '')) as kept_sha256
+       cast(coalesce(f.n_removed, 0) as bigint) as n_removed, coalesce(f.removed_spans, '') as removed_spans, sha256(coalesce(f.kept, d.text, '')) as kept_sha256
 from documents d left join folded f on d.doc_id = f.doc_id
 """,
     "op6_warc": """
