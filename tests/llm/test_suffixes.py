@@ -56,6 +56,25 @@ def test_removed_bytes(spark, seed, segment, monkeypatch):
     assert not bad, [(got[i][:3], want[i][:3]) for i in bad[:5]]
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_hot_anchors_give_the_same(spark, seed):
+    texts = corpus(seed)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in S.deduplicated(df, hot=1).collect()}
+    want = brute(texts)
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_anchors_of_one_hash_are_told_apart():
+    r = random.Random(2)
+    grams = [bytes(r.randrange(256) for _ in range(S.GRAM)) for _ in range(2)]
+    tail, head = bytes(168), bytes(100)
+    rows = [(7, i, 0, 100, head + gram + tail[: 168 - 100] + bytes([i]) * 40) for i, gram in enumerate(grams)]
+    assert S.sorted_windows(rows) == []  # the 64-bit number is the same, the bytes are not
+    rows = [(7, i, 0, 100, head + grams[0] + tail[: 168 - 100] + bytes([i]) * 40) for i in range(2)]
+    assert sorted(S.sorted_windows(rows)) == [(7, 0, 0, 100, 100), (7, 1, 0, 100, 100)]
+
+
 def test_empty(spark):
     assert S.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
