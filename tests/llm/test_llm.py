@@ -361,7 +361,7 @@ def test_packing(spark, docs, corpus, empty):
             want[d, k, at, n, struct.pack(f"<{n}I", *ids[at : at + n])] += 1
             at += n
     assert got == want
-    check_sequences([(r["sequence_id"], r["offset"], r["length"]) for r in rows], 1024)
+    assert check_sequences([(r["sequence_id"], r["offset"], r["length"]) for r in rows], 1024) == rows[0]["n_sequences"] >= rows[0]["lower_bound"]
     assert packing.packed(empty, path).count() == 0
 
 
@@ -384,11 +384,12 @@ def test_pack_rounds(spark):
     df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(n)], "pid long, length long")
     lengths = dict(enumerate(map(int, n)))
     for size, most in ((200, 1.04), (100_000, 1.005)):
-        rows = packing.pack(df, part_rows=size).collect()
+        placed, bins, least = packing.pack(df, part_rows=size)
+        rows = placed.collect()
         assert sorted(x["pid"] for x in rows) == list(range(len(n)))
         made = check_sequences([(x["sequence_id"], x["offset"], lengths[x["pid"]]) for x in rows], 1024)
         low = packing.lower_bound(np.bincount(n, minlength=1025).astype(float))
-        assert made <= low * most + 2
+        assert made <= low * most + 2 and bins == made and low <= least <= made
 
 
 def test_lower_bound_is_one():
@@ -509,6 +510,53 @@ def test_multiset(docs, corpus, empty):
     assert multiset.compared(empty).count() == 0
 
 
+def spark_hash(seed, unit):
+    return xxhash.xxh64_intdigest(unit.encode(), xxhash.xxh64_intdigest(struct.pack("<i", seed), 42))
+
+
+def brute_multiset(t):
+    """A fingerprint's 128 one-bit lanes, its text and the number of clauses."""
+    units_ = re.split(r"(?<=[.!?;:,|\n])", t)
+    h = [[spark_hash(s, u) for u in units_] for s in (*multiset.SEEDS, 31, 37, 41)]
+    lanes = [sum(x >> (j + half) & 1 for x in h[s]) for s in (0, 1) for j in range(32) for half in (0, 32)]
+    out = "".join(f"{(lanes[k + 1] % 2**16) << 16 | lanes[k] % 2**16:08x}" for k in range(0, 128, 2))
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    out += "".join(f"{sum(signed(x) % 2**40 for x in h[s]) % 2**40:010x}" for s in (2, 3, 4))
+    return np.array(lanes), out + f"{len(units_):08x}", len(units_)
+
+
+def brute_likeness(a, b):
+    if a[1] == b[1]:
+        return 1.0
+    x, y = 2.0 * a[0] - a[2], 2.0 * b[0] - b[2]
+    return float(np.clip(x @ y / np.sqrt((x @ x) * (y @ y)), 0, 1)) if (x @ x) * (y @ y) else 0.0
+
+
+def test_multiset_is_that_of_brute_force(spark, corpus):
+    texts = [r[1] for r in corpus if r[0] is not None][:70] + ["x" * 50_000 + ". y, z" * 4000, "", None, ".", "a.", "é漢.\n" * 7]
+    d = spark.createDataFrame([(i * 2, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("r", F.lit(0)).repartition(3)
+    rows = sorted(multiset.compared(d).collect(), key=lambda r: r["doc_id"])
+    texts = [t or "" for t in texts]
+    f = [brute_multiset(t) for t in texts]
+    for k, (row, t) in enumerate(zip(rows, texts, strict=True)):
+        follow, m = (k + 1) % len(texts), len(t) // 2
+        g = brute_multiset(t[: len(t) - m] + texts[follow][:m])
+        assert (row["doc_id"], row["n_chars"], row["fingerprint"], row["edited_fingerprint"]) == (2 * k, len(t), f[k][1], g[1])
+        assert abs(row["near_edited"] - brute_likeness(f[k], g)) < 1e-9 and abs(row["near_next"] - brute_likeness(f[k], f[follow])) < 1e-9
+
+
+def test_neighbours_of_hot_and_null_ids(spark):
+    r = random.Random(3)
+    ids = [5] * 300 + [None] * 300 + [r.randrange(1000) for _ in range(300)]
+    d = spark.createDataFrame([(i, f"t{k} of {r.random()}") for k, i in enumerate(ids)], "doc_id long, text string")
+    h = {x["text"]: x["h"] for x in d.select("text", F.xxhash64("text").alias("h")).collect()}
+    got = {x["text"]: x for x in multiset.neighbours(d.repartition(3)).collect()}
+    order = sorted(h, key=lambda t: ((i := ids[int(t[1 : t.index(" ")])]) is None, i or 0, h[t]))
+    assert all(got[a]["next_text"] == b for a, b in zip(order, order[1:] + order[:1]))
+    assert all((got[a]["next_r"], got[a]["next_i"]) == (got[b]["r"], got[b]["i"]) for a, b in zip(order, order[1:] + order[:1]))
+    assert max(collections.Counter(x["r"] for x in got.values()).values()) < 250  # neither the hot id nor the null one is one range
+
+
 def test_multiset_is_homomorphic(spark):
     a = "One thing here.\nAnother thing there, and more.\nThird!"
     b = "Third!\n" + "One thing here.\n" + "Another thing there, and more."
@@ -527,6 +575,53 @@ def test_multiset_likeness_tells_edits(spark):
     assert better > 0.95
 
 
+def brute_features(t):
+    w = (t or "").encode().lower().split()
+    h = [xxhash.xxh64_intdigest(x, resample.SEED) for x in w]
+    mask = (1 << 64) - 1
+    pairs = [(a * 0x9E3779B97F4A7C15 + b) & mask for a, b in zip(h, h[1:])]
+    return [x * 0xD6E8FEB86659FD93 & mask for x in [*h, *(p ^ (p >> 31) for p in pairs)]]
+
+
+def brute_weights(corpus, good, buckets):
+    shift = 65 - buckets.bit_length()
+    raw, target = collections.Counter(), collections.Counter()
+    per = [[f >> shift for f in brute_features(r[1])] for r in corpus]
+    for r, k in zip(corpus, per):
+        raw.update(k)
+        if r[0] in good:
+            target.update(k)
+    least = min(30.0, float(np.percentile([c for c in target.values()], 90))) if target else 0
+    heavy = sorted((target[k] / raw[k], target[k]) for k in target if target[k] >= least)
+    mass = np.cumsum([m for _, m in heavy])
+    scale = heavy[int(np.searchsorted(mass, mass[-1] / 2))][0] if heavy else None
+    w = lambda k: float(np.float32(np.log((target[k] + 20) / (raw[k] * scale + 20)) + 0.5 * raw[k] * scale / (raw[k] * scale + 20) ** 2)) if heavy else 0.0
+    return [(len(k), sum(map(w, k))) for k in per]
+
+
+@pytest.mark.parametrize("most", [resample.BROADCAST, 0])
+def test_resample_is_that_of_brute_force(spark, docs, corpus, most):
+    good = {0, 3, 12, 15, 21, 60, 90}
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(9, 1, 1), (6, 0, 0), (None, 1, 0), (999, 1, None)], "doc_id long, quality int, toxic int")
+    rows = resample.resampled(docs, labels, share=0.5, buckets=1 << 14, most_broadcast=most).collect()
+    want = brute_weights(corpus, good, 1 << 14)
+    key = lambda i, n, w: (i is None, i or 0, n, round(w, 4))
+    assert sorted(key(r["doc_id"], r["n_features"], r["log_weight"]) for r in rows) == sorted(key(c[0], n, w) for c, (n, w) in zip(corpus, want))
+    cut = sorted((r["gumbel_key"] for r in rows), reverse=True)[round(0.5 * len(rows)) - 1]
+    assert all(r["kept"] == (r["gumbel_key"] >= cut) for r in rows)
+
+
+def test_buckets_follow_the_corpus(spark):
+    r = random.Random(6)
+    d = spark.createDataFrame([(i, " ".join(f"w{r.randrange(30_000)}" for _ in range(200))) for i in range(400)], "doc_id long, text string").repartition(5)
+    n = len({f for x in d.collect() for f in brute_features(x["text"])})
+    assert abs(resample.distinct_features(d) / n - 1) < 0.06
+    small = d.where("doc_id < 3")
+    assert resample.distinct_features(small) == len({f for x in small.collect() for f in brute_features(x["text"])})
+    assert resample.distinct_features(d.limit(0)) == 0
+    assert [resample.bucket_count(n) for n in (0, 10**6, 10**8, 10**10)] == [1 << 17, 1 << 19, 1 << 23, 1 << 26]
+
+
 def test_resample(spark, docs, empty):
     labels = spark.createDataFrame([(0, 1, 0), (3, 1, 0), (6, 0, 0), (9, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     n = docs.count()
@@ -540,11 +635,11 @@ def test_resample(spark, docs, empty):
 
 
 def test_kth_largest(spark):
-    v = [random.Random(i).choice([0.5, 1.5, i / 7]) for i in range(500)]
-    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    v = [random.Random(i).choice([0.5, 1.5, i / 7, float(np.nextafter(0.5, 1))]) for i in range(500)]
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
     for k in (1, 7, 250, 500):
-        assert resample.kth_largest(df, "v", k, alone=20) == sorted(v, reverse=True)[k - 1]
-    assert resample.kth_largest(df, "v", 501) is None
+        assert resample.kth_largest(df, "v", k, cells=8) == sorted(v, reverse=True)[k - 1]
+    assert resample.kth_largest(df, "v", 501) is None and resample.kth_largest(df, "v", 0) is None
 
 
 def test_crc_is_of_little_endian_ids(spark):
