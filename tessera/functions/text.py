@@ -23,23 +23,41 @@ def fold_text(s: str) -> str:
     return re.sub(r"[^\x00-\x7f]+", lambda m: "".join(c for c in m.group() if not unicodedata.combining(c)), unicodedata.normalize("NFKD", s))
 
 
+def _plain_letters() -> dict[str, str]:
+    """Letters of the Latin blocks that fold to one ASCII letter, by the decomposition itself."""
+    found = {chr(c): fold_text(chr(c)) for c in range(0xC0, 0x250)}
+    return {c: f for c, f in found.items() if f != c and len(f) == 1 and f.isascii()}
+
+
+PLAIN = _plain_letters()
+#: Characters that folding leaves as they are, or that PLAIN has: texts of these alone stay on the JVM.
+_SIMPLE = "".join(c for c in map(chr, range(0x80, 0x250)) if c in PLAIN or fold_text(c) == c)
+
+
 @pandas_udf(StringType())
 def _fold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else fold_text(x))
 
 
 def fold(c: Column) -> Column:
-    """ASCII texts stay on the JVM; only others go through an Arrow batch."""
-    plain = c.rlike("^[\\x00-\\x7F]*$")
-    return F.when(plain, c).otherwise(_fold(F.when(~plain, c)))
+    """Latin texts are translated on the JVM; only others go through an Arrow batch."""
+    simple = c.rlike("^[\\x00-\\x7F" + _SIMPLE.replace("\\", "").replace("]", "").replace("[", "").replace("^", "").replace("-", "") + "]*+$")
+    return F.when(simple, F.translate(c, "".join(PLAIN), "".join(PLAIN.values()))).otherwise(_fold(F.when(~simple, c)))
 
 
-def terms(c: Column) -> Column:
-    """Search terms, sorted and distinct: each run of letters, digits and underscores, its parts between underscores, and their camel-case parts. A text is cut three times as a whole, never word by word."""
+def term_set(c: Column) -> Column:
+    """The distinct search terms of a text, in no order: each run of letters, digits and underscores, its parts between underscores, and their camel-case parts. A text is cut three times as a whole, never word by word."""
     text = fold(F.coalesce(c, F.lit("")))
-    runs, parts = F.split(F.lower(text), "[^a-z0-9_]+"), F.split(F.lower(text), "[^a-z0-9]+")
-    camel = F.transform(F.array_distinct(F.split(text, "[^A-Za-z0-9]+|" + CAMEL)), F.lower)
-    return F.array_sort(F.array_remove(F.array_distinct(F.concat(runs, parts, camel)), ""))
+    low = F.lower(text)
+    runs = F.split(low, "[^a-z0-9_]++")
+    parts = F.when(low.contains("_"), F.split(low, "[^a-z0-9]++")).otherwise(F.array().cast("array<string>"))  # else the runs are the parts
+    camel = F.transform(F.array_distinct(F.split(text, "[^A-Za-z0-9]++|" + CAMEL)), F.lower)
+    return F.array_remove(F.array_distinct(F.concat(runs, parts, camel)), "")
+
+
+def terms(c: Column) -> Column:
+    """term_set, sorted."""
+    return F.sort_array(term_set(c))
 
 
 def alias_forms(label: Column, file: Column, basename: Column) -> Column:

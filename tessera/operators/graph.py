@@ -100,7 +100,7 @@ def traverse(g: Graph, seeds: list[str], repo: str, relations: list[str], direct
     known = {r["id"]: r["key"] for r in nodes.where(F.col("id").isin(seeds)).where("key is not null").collect()}  # seeds
     order = sorted(known, key=lambda i: (known[i], i))
     state = {"truncated": len(order) > most, "frontier_exhausted": False, "resolvers": set(), "skipped_unkeyed": 0, "seeds": order[:most]}
-    visited, unkeyed, rows = dict((i, known[i]) for i in order[:most]), set(), []
+    visited, unkeyed, rows = dict((i, known[i]) for i in order[:most]), None, []
     frontier = list(visited)
     for level in range(1, depth + 1):
         if state["truncated"]:
@@ -108,8 +108,8 @@ def traverse(g: Graph, seeds: list[str], repo: str, relations: list[str], direct
         front = spark.createDataFrame([(i, visited[i]) for i in frontier], "u string, from_key string")
         step = adj.join(F.broadcast(front), "u").join(nodes, F.col("v") == nodes["id"]).drop("id")
         step = step.join(F.broadcast(spark.createDataFrame([(i,) for i in visited], "v string")), "v", "left_anti")
-        bare = {r["v"] for r in step.where("key is null").select("v").distinct().collect()}
-        unkeyed |= bare
+        bare = cut(step.where("key is null").select("v").distinct())  # stays on the executors, however many there are
+        unkeyed = bare if unkeyed is None else unkeyed.union(bare)
         via = step.where("key is not null").groupBy("v", "key", "from_key", "relation", F.coalesce("confidence", F.lit(EXTRACTED)).alias("confidence"))
         via = via.agg(F.max(finite(F.col("confidence_score"))).alias("score"), F.max(F.coalesce("also_seen", F.lit(0))).alias("seen"), F.collect_set("resolver").alias("resolvers"))
         reached = via.groupBy("v", "key").agg(F.sort_array(F.collect_list(F.struct("from_key", "relation", "confidence", "score", "seen"))).alias("via"), F.array_distinct(F.flatten(F.collect_list(F.when(F.col("relation").isin("calls", "indirect_call"), F.col("resolvers")).otherwise(F.array().cast("array<string>"))))).alias("resolvers"))
@@ -124,7 +124,7 @@ def traverse(g: Graph, seeds: list[str], repo: str, relations: list[str], direct
             state["resolvers"] |= set(r["resolvers"])
             rows.append((r["v"], r["key"], level, [tuple(x) for x in r["via"]]))
         frontier = [r["v"] for r in got]
-    state["skipped_unkeyed"] = len(unkeyed)
+    state["skipped_unkeyed"] = unkeyed.distinct().count() if unkeyed is not None else 0
     return spark.createDataFrame(rows, "id string, key string, depth int, via array<struct<from_key:string,relation:string,confidence:string,score:double,seen:int>>"), state
 
 
@@ -158,37 +158,72 @@ def owners(g: Graph) -> DataFrame:
     return own.select("id", F.coalesce("owner", F.lit("")).alias("owner"))
 
 
-def config_paths(g: Graph, most: int = 32) -> DataFrame:
-    """(id, path): the dotted path of each key of a YAML or JSON file, from the file's own node down by 'contains' edges.
+def config_parents(g: Graph) -> DataFrame:
+    """(id, label, p_id, p_label, p_file): the one parent of each key of a YAML or JSON file.
 
-    A key has one parent: of those in its file the one with the greatest line not after its own, then the greatest
-    line, label and id. Keys in a cycle or with more than `most` ancestors have no path; nor has the file itself.
+    Of those in its file the one with the greatest line not after its own, then the greatest line, then the least label
+    and id. p_file: the parent is the file itself.
     """
     n = g.nodes.where(is_config_file(F.col("source_file")) & ~(F.coalesce("origin", F.lit("")) == "semantic")).select("id", "repo", "source_file", "label", F.coalesce("line", F.lit(0)).alias("line"), is_file_label(F.col("label"), F.col("source_file")).alias("file"))
     p = n.select(*[F.col(c).alias(f"p_{c}") for c in n.columns])
     e = g.edges.where("relation = 'contains' and source <> target").select("source", "target").distinct()
     pairs = e.join(n, e["target"] == n["id"]).join(p, (e["source"] == p["p_id"]) & (F.col("source_file") == F.col("p_source_file")) & F.col("repo").eqNullSafe(F.col("p_repo")))
     rank = W.partitionBy("id").orderBy((F.col("p_line") <= F.col("line")).desc(), F.col("p_line").desc(), "p_label", "p_id")
-    parent = cut(pairs.where("not file").withColumn("_r", F.row_number().over(rank)).where("_r = 1").select("id", "label", "p_id", "p_label", "p_file"))
-    done = parent.where("p_file").select("id", F.col("label").alias("path"))
-    todo = parent.where("not p_file").select("id", F.col("label").alias("path"), F.col("p_id").alias("at"))
-    up = parent.select(F.col("id").alias("at"), F.col("label").alias("l"), F.col("p_id").alias("nxt"), "p_file")
-    for _ in range(most):
-        step = cut(todo.join(up, "at").select("id", F.concat("l", F.lit("."), "path").alias("path"), F.col("nxt").alias("at"), "p_file"))
-        done = done.unionByName(step.where("p_file").select("id", "path"))
-        todo = step.where("not p_file").select("id", "path", "at")
-        if todo.isEmpty():
+    return pairs.where("not file").withColumn("_r", F.row_number().over(rank)).where("_r = 1").select("id", "label", "p_id", "p_label", "p_file")
+
+
+def config_paths(g: Graph) -> DataFrame:
+    """(id, path): the dotted path of each key of a YAML or JSON file, from the file's own node down by 'contains' edges.
+
+    Paths double in length each round, so a key at any depth is done after the logarithm of it; every depth has keys,
+    so a round that ends none leaves only keys in cycles, or below one, or without a file, which have no path. Nor has
+    the file itself.
+    """
+    parent = config_parents(g)
+    left = cut(parent.select("id", F.col("label").alias("path"), F.when(~F.col("p_file"), F.col("p_id")).alias("at")))
+    done = left.where("at is null").select("id", "path")
+    left = left.where("at is not null")
+    while not left.isEmpty():
+        up = done.select(F.col("id").alias("u"), F.col("path").alias("head"), F.lit(None).cast("string").alias("next")).unionByName(left.select(F.col("id").alias("u"), F.col("path").alias("head"), F.col("at").alias("next")))
+        step = cut(left.join(up, F.col("at") == F.col("u")).select("id", F.concat("head", F.lit("."), "path").alias("path"), F.col("next").alias("at")))
+        ended = step.where("at is null").select("id", "path")
+        if ended.isEmpty():
             break
+        done, left = done.unionByName(ended), step.where("at is not null")
     return done
 
 
+def fold(df: DataFrame, *by: str) -> DataFrame:
+    """(by..., n, digest): one digest of all rows, whatever their order, of each group: SHA-256 of four sums of 60 bits of the rows' own digests.
+
+    A row's digest is that of its JSON with columns in name order; sums are made before the shuffle.
+    """
+    own = sorted(set(df.columns) - set(by))
+    row = F.sha2(F.to_json(F.struct(*own), {"ignoreNullFields": "false"}), 256)
+    sums = [F.sum(F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).alias(f"_s{k}") for k in range(4)]
+    f = df.groupBy(*by).agg(F.count("*").alias("n"), *sums) if by else df.agg(F.count("*").alias("n"), *sums)
+    return f.select(*by, "n", F.sha2(F.concat_ws("/", F.col("n").cast("string"), *[F.coalesce(F.col(f"_s{k}"), F.lit(0).cast("decimal(38,0)")).cast("string") for k in range(4)]), 256).alias("digest"))
+
+
+def repo_fingerprints(g: Graph) -> DataFrame:
+    """(owner, fingerprint): a digest of each repo's nodes, communities aside, and of the edges inside it: all that its clustering and naming read."""
+    own = owners(g)
+    nodes = strip_communities(g.nodes).join(own, "id")
+    a, b = own.select(F.col("id").alias("source"), F.col("owner").alias("owner")), own.select(F.col("id").alias("target"), F.col("owner").alias("_b"))
+    edges = g.edges.join(a, "source").join(b, "target").where("owner = _b").drop("_b")
+    n, e = fold(nodes, "owner").select("owner", F.col("digest").alias("_n")), fold(edges, "owner").select("owner", F.col("digest").alias("_e"))
+    return n.join(e, "owner", "left").select("owner", F.sha2(F.concat_ws("/", "_n", F.coalesce("_e", F.lit(""))), 256).alias("fingerprint"))
+
+
 def signatures(members: DataFrame) -> DataFrame:
     """(group, signature): a hash of each group's sorted member ids; members: group, id."""
     return members.groupBy("group").agg(F.substring(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_set("id")), lambda x: F.concat(x, F.lit("\0")))), 256), 1, 16).alias("signature"))
 
 
 def same_structure(before: Graph, after: Graph) -> bool:
-    """Nothing but community columns differs, multiplicity included."""
+    """Nothing but community columns differs, multiplicity included; a node id that is there twice is an error."""
+    if not after.nodes.groupBy("id").count().where("count > 1").isEmpty():
+        raise ValueError("a node id is there twice")
     drop = lambda df: df.select(*sorted(set(df.columns) - {"community", "community_name"}))
     pairs = ((drop(before.nodes), drop(after.nodes)), (drop(before.edges), drop(after.edges)))
     return all(a.columns == b.columns and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() for a, b in pairs)

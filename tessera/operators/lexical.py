@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.text import alias_forms, fold_text, is_file_label, terms
+from ..functions.text import alias_forms, fold_text, is_file_label, term_set
 from ..model import BOOSTS, durable_key
 
 #: In the packed exchange form a posting is a document number, shifted, with its field in the low bits.
@@ -39,13 +39,14 @@ def numbered(ids: DataFrame) -> DataFrame:
     return n.withColumn("p", place).join(ranges, (F.col("repo") == F.col("_r")) & (F.col("b") == F.col("_b"))).select("id", (F.col("from") + F.col("p") - 1).alias("doc_id"))
 
 
-def build(nodes: DataFrame, paths: DataFrame | None = None) -> dict[str, DataFrame]:
+def build(nodes: DataFrame, paths: DataFrame | None = None, only: list[str] | None = None) -> dict[str, DataFrame]:
     """documents (doc_id, repo, key), postings (term, doc_id, field) and aliases (alias, doc_id) of keyed nodes.
 
     nodes: id (unique), repo, label, source_file, snippet. paths (id, path): dotted labels of configuration keys; those
     become the key's and the alias's label, and their ancestors count as path. Texts are cut where they are read; what
-    is shuffled are ids and terms.
+    is shuffled are ids and terms. only: postings of these terms alone, chosen before anything is exploded.
     """
+    wanted = (lambda c: c) if only is None else (lambda c: F.array_intersect(c, F.array(*map(F.lit, only)).cast("array<string>")))
     n = nodes if paths is None else nodes.join(paths, "id", "left")
     q = F.col("path") if paths is not None else F.lit(None).cast("string")
     label = F.coalesce(q, F.col("label"), F.lit(""))
@@ -53,9 +54,9 @@ def build(nodes: DataFrame, paths: DataFrame | None = None) -> dict[str, DataFra
     number = numbered(n)
     ancestors = F.when(F.col("qualified").isNotNull() & F.col("qualified").endswith(F.concat(F.lit("."), "label")), F.expr("substring(qualified, 1, length(qualified) - length(label) - 1)"))
     fields = F.array(
-        F.struct(F.lit("label").alias("field"), terms(F.col("label")).alias("terms")),
-        F.struct(F.lit("path").alias("field"), F.array_union(terms(F.col("source_file")), terms(ancestors)).alias("terms")),
-        F.struct(F.lit("snippet").alias("field"), terms(F.col("snippet")).alias("terms")),
+        F.struct(F.lit("label").alias("field"), wanted(term_set(F.col("label"))).alias("terms")),
+        F.struct(F.lit("path").alias("field"), wanted(F.array_union(term_set(F.col("source_file")), term_set(ancestors)) if paths is not None else term_set(F.col("source_file"))).alias("terms")),
+        F.struct(F.lit("snippet").alias("field"), wanted(term_set(F.col("snippet"))).alias("terms")),
     )
     postings = n.select("id", F.explode(fields).alias("x")).select("id", "x.field", F.explode("x.terms").alias("term")).join(number, "id")
     files = n.where(is_file_label(F.col("label"), F.col("source_file"))).select("repo", "source_file", F.lit(True).alias("_has")).distinct()
@@ -65,10 +66,15 @@ def build(nodes: DataFrame, paths: DataFrame | None = None) -> dict[str, DataFra
     return {"documents": n.select("id", "repo", "key").join(number, "id").select("doc_id", "repo", "key"), "postings": postings.select("term", "doc_id", "field"), "aliases": aliases.select("alias", "doc_id")}
 
 
+#: Documents of a part of the packed form: a term that all documents have is many rows, none of them large.
+PART_BITS = 16
+
+
 def pack(postings: DataFrame) -> DataFrame:
-    """(term, packed): postings in the exchange form, sorted."""
+    """(term, part, packed): postings in the exchange form, sorted; a part holds the documents of one range of numbers."""
     f = F.array_position(F.array(*map(F.lit, FIELDS)), F.col("field")) - 1
-    return postings.groupBy("term").agg(F.array_sort(F.collect_set(F.shiftleft("doc_id", PACK_BITS).bitwiseOR(f))).alias("packed"))
+    packed = F.sort_array(F.collect_set(F.shiftleft("doc_id", PACK_BITS).bitwiseOR(f))).alias("packed")
+    return postings.groupBy("term", F.shiftright("doc_id", PART_BITS).alias("part")).agg(packed)
 
 
 def unpack(packed: DataFrame) -> DataFrame:
@@ -77,6 +83,12 @@ def unpack(packed: DataFrame) -> DataFrame:
     return p.select("term", F.shiftright("p", PACK_BITS).alias("doc_id"), F.get(F.array(*map(F.lit, FIELDS)), F.col("p").bitwiseAND(F.lit(3)).cast("int")).alias("field")).where("field is not null")
 
 
+def probe(postings: DataFrame, documents: DataFrame, terms_: list[str], keys: list[str]) -> DataFrame:
+    """(term, key, field): which of the terms stand in which of the keys' documents."""
+    d = documents.where(F.col("key").isin(keys)).select("doc_id", "key")
+    return postings.where(F.col("term").isin(terms_)).join(F.broadcast(d) if len(keys) <= 1000 else d, "doc_id").select("term", "key", "field")
+
+
 def doc_freq(postings: DataFrame) -> DataFrame:
     """(term, df): documents that have a term in any field. Distinct pairs are found before the shuffle."""
     return postings.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("df"))

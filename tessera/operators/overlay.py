@@ -37,8 +37,11 @@ def calibration(pairs: DataFrame) -> DataFrame:
     From ten copies on: the upper median; below the floor the line is out of reach, else it is 0.92 of the median.
     """
     d = described(pairs).where("file_a <> '' and file_a = file_b")
-    c = d.groupBy("r1", "r2", F.col("ext_a").alias("ext")).agg(F.array_sort(F.collect_list("score")).alias("s")).where(F.size("s") >= COPIES)
-    c = c.select("r1", "r2", "ext", F.size("s").alias("copies"), F.element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int")).alias("identity"))
+    group = ["r1", "r2", "ext"]
+    c = d.groupBy("r1", "r2", F.col("ext_a").alias("ext"), "score").agg(F.count("*").alias("c"))  # equal scores are one row
+    w = W.partitionBy(*group)
+    c = c.withColumn("upto", F.sum("c").over(w.orderBy("score"))).withColumn("n", F.sum("c").over(w)).where((F.col("n") >= COPIES) & (F.col("upto") > F.floor(F.col("n") / 2)))
+    c = c.groupBy(*group).agg(F.max("n").cast("int").alias("copies"), F.min("score").alias("identity"))
     return c.withColumn("line", F.when(F.col("identity") < IDENTITY_FLOOR, F.lit(2.0)).otherwise(F.col("identity") * RELATIVE))
 
 

@@ -157,8 +157,14 @@ post as (select distinct n, key, repo, field, lower(w) as term from (select n, k
 """
 
 
-def _index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return lexical.build(T.lexical_docs(spark, d))
+def _index(spark: SparkSession, d: str, only: list[str] | None = None) -> dict[str, DataFrame]:
+    return lexical.build(T.lexical_docs(spark, d), only=only)
+
+
+def _answers(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The index as far as the query Q needs it, its postings checkpointed: they are read for frequencies and for hits."""
+    i = _index(spark, d, lexical.query_terms(Q))
+    return {**i, "documents": graph.cut(i["documents"]), "postings": graph.cut(i["postings"])}
 
 
 @query(_TERMS + "select key, field, term, cast(count(*) as bigint) as n from post group by 1, 2, 3")
@@ -186,7 +192,7 @@ lex as (select key, round(sum(ln(1 + (select count(*) from ok) / df) * w), 9) as
 
 @query(_SCORED + "select key, round(score, 6) as score from lex order by lex.score desc, key limit 50")
 def lexical_topk_scoped(spark: SparkSession, d: str) -> DataFrame:
-    s = lexical.scores(_index(spark, d), Q, ["src0", "src1", "src2"])
+    s = lexical.scores(_answers(spark, d), Q, ["src0", "src1", "src2"])
     return s.orderBy(F.col("score").desc(), "key").limit(50).select("key", F.round("score", 6).alias("score"))
 
 
@@ -202,10 +208,12 @@ def index_stats(spark: SparkSession, d: str) -> DataFrame:
     return lexical.stats(_index(spark, d)["documents"])
 
 
-@query("select term, cast(count(*) as bigint) as n from (" + _TERMS.replace("with d as", "with d as", 1) + " select term, n * 4 + case field when 'label' then 0 when 'path' then 1 else 2 end as p from post) group by 1")
+@query(_TERMS + "select term, field, key from post where term in ('the', 'les', 'und', 'ention')")
 def packed_postings(spark: SparkSession, d: str) -> DataFrame:
-    packed = lexical.pack(_index(spark, d)["postings"])
-    return lexical.unpack(packed).groupBy("term").agg(F.count("*").alias("n"))
+    """Postings packed, and unpacked again: numbers are the index's own, so they are told by their documents' keys."""
+    i = _index(spark, d)
+    packed = lexical.pack(i["postings"]).where(F.col("term").isin("the", "les", "und", "ention"))
+    return lexical.unpack(packed).join(i["documents"], "doc_id").select("term", "field", "key")
 
 
 # -- ranking -------------------------------------------------------------------
@@ -213,7 +221,7 @@ def packed_postings(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_SCORED + ", top as (select key, row_number() over (order by score desc, key) - 1 as r from lex), t as (select * from top where r < 50) select key, round(1.0 / (61 + r) + case when r % 2 = 0 then 1.0 / (61 + r // 2) else 0 end, 9) as score from t")
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
-    one = ranking.ranked(lexical.scores(_index(spark, d), Q, ["src0", "src1", "src2"]))
+    one = ranking.ranked(lexical.scores(_answers(spark, d), Q, ["src0", "src1", "src2"]))
     two = one.where("rank % 2 = 0").select("key", F.expr("rank div 2").alias("rank"))
     return ranking.fuse(one, two).select("key", F.round("score", 9).alias("score"))
 
@@ -252,15 +260,14 @@ def fused_search(spark: SparkSession, d: str) -> DataFrame:
     """Lexical and structural candidates over documents, fused; documents of one source and language are neighbours."""
     from .tools import fused
 
-    docs = T.lexical_docs(spark, d)
-    return fused(lexical.build(docs), Q, None)
+    return fused(_answers(spark, d), Q, None)
 
 
 @query()
 def mmr_search(spark: SparkSession, d: str) -> DataFrame:
     from .tools import fused
 
-    top = fused(_index(spark, d), Q, None).orderBy(F.col("score").desc(), "key").limit(170).collect()
+    top = fused(_answers(spark, d), Q, None).orderBy(F.col("score").desc(), "key").limit(170).collect()
     scored = {r["key"]: r["score"] for r in top}
     order = ranking.diversify(scored, {k: k.split("\x1f")[1] for k in scored}, 20)
     return spark.createDataFrame([(i, k, scored[k]) for i, k in enumerate(order)], "place int, key string, score double")
@@ -292,11 +299,6 @@ def mutual_topk_pairs(spark: SparkSession, d: str) -> DataFrame:
     return vector.mutual(vector.candidates(T.vectors(spark, d), floor=0.2)).select("key_a", "key_b", F.round("score", 5).alias("score"))
 
 
-@query()
-def lsh_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return vector.mutual(vector.bucketed(T.vectors(spark, d), 64, floor=0.2))
-
-
 def _copies(spark: SparkSession, d: str) -> DataFrame:
     """Lines of an order as pairs of files, so that calibration sees many copies: price ratios as scores."""
     li = T.table(spark, d, "lineitem")

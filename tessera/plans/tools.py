@@ -6,11 +6,12 @@ import difflib
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.text import citation, is_test_path, node_line, norm_label
-from ..model import ANCHOR_SCORE, DEFAULT_K, EXACT_SCORE, FALLBACK_SCORE, HUB_DEGREE, MAP_HUBS, MAP_LEAST, MAP_MOST, MAX_DEPTH, MAX_K, MAX_RELATION_CHARS, MAX_RELATIONS, MAX_SUGGESTIONS, PACK_BUDGET, PACK_K, PACK_MOST, SEEDS, Graph
+from ..model import ANCHOR_SCORE, DEFAULT_K, EXACT_SCORE, FALLBACK_SCORE, HUB_DEGREE, MAP_HUBS, MAP_LEAST, MAP_MOST, MAX_DEPTH, MAX_K, MAX_RELATION_CHARS, MAX_RELATIONS, MAX_ROUTES, MAX_SUGGESTIONS, MAX_TRAVERSED, PACK_BUDGET, PACK_K, PACK_MOST, SEEDS, Graph
 from ..operators import graph as G, lexical as L, overlay as O, ranking as R, routes as Rt, vector as V
 from ..sources.registry import Registry, ScopeError, resolve_repos, resolve_scope
 
@@ -37,6 +38,23 @@ def _k(v) -> int:
     return max(1, min(v, MAX_K))
 
 
+def _epoch(when: str | None) -> float:
+    """A manifest's time in seconds; a text that is none, or nothing, is the beginning of time."""
+    try:
+        return datetime.fromisoformat(when).timestamp() if when else 0.0
+    except ValueError:
+        return 0.0
+
+
+# Embedders that expect an instruction before a query, and the instruction.
+INSTRUCTED, TASK = "qwen3-embedding", "Given a web search query, retrieve relevant passages that answer the query"
+
+
+def instructed(model: str, query: str) -> str:
+    """A query as the embedding model expects it."""
+    return f"Instruct: {TASK}\nQuery:{query}" if model.split("/")[-1].lower().startswith(INSTRUCTED) else query
+
+
 def within_budget(cards: DataFrame, order: list[str], budget: int) -> DataFrame:
     """cards with total, the running sum of cost in that order, as far as it stays within the budget. A cost is 1 at least, so the window ends early: no more than budget rows can be kept, and only those are ordered."""
     top = cards.orderBy(*order).limit(budget)
@@ -52,6 +70,33 @@ def fused(index: dict[str, DataFrame], query: str, repos: list[str] | None) -> D
     return R.fuse(lex, R.ranked(near))
 
 
+def cards(graph: Graph) -> DataFrame:
+    """(key, id, repo, label, source_file, line, citation, degree, community_name), one for each key: of nodes that share one, the last."""
+    k = graph.keyed().where("key is not null")
+    last = "ord" if "ord" in k.columns else "id"
+    k = k.groupBy("key").agg(F.max_by(F.struct("id", "repo", "label", "source_file", "line", "community_name"), F.struct(last, "id")).alias("n")).select("key", "n.*")
+    k = k.join(G.degree(graph.edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    return k.withColumn("citation", citation(F.col("repo"), F.col("source_file"), node_line(F.col("line"), F.lit(""))))
+
+
+def closest(names: DataFrame, wanted: str, cutoff: float, n: int = MAX_SUGGESTIONS) -> list[str]:
+    """Of names (x) the n most like a text by the ratio of matching blocks, at or over the cutoff: each is looked at, on the executors."""
+
+    @F.pandas_udf("double")
+    def ratio(x):
+        m = difflib.SequenceMatcher()
+        m.set_seq2(wanted)
+
+        def one(a: str) -> float:
+            m.set_seq1(a)
+            return m.ratio() if m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff else 0.0
+
+        return x.map(one)
+
+    near = names.select("x", ratio("x").alias("r")).where(F.col("r") >= cutoff)
+    return [r["x"] for r in near.orderBy(F.col("r").desc(), F.col("x").desc()).limit(n).collect()]
+
+
 @dataclass
 class Result:
     rows: list[dict] = field(default_factory=list)
@@ -71,14 +116,13 @@ class Generation:
     manifest: dict = field(default_factory=dict)
     snippets: DataFrame | None = None
     degraded: list[str] = field(default_factory=list)
+    made: DataFrame | None = None
 
     def cards(self) -> DataFrame:
-        """(key, id, repo, label, source_file, line, citation, degree, community_name), one for each key: of nodes that share one, the last."""
-        k = self.graph.keyed().where("key is not null")
-        last = "ord" if "ord" in k.columns else "id"
-        k = k.groupBy("key").agg(F.max_by(F.struct("id", "repo", "label", "source_file", "line", "community_name"), F.struct(last, "id")).alias("n")).select("key", "n.*")
-        k = k.join(G.degree(self.graph.edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        return k.withColumn("citation", citation(F.col("repo"), F.col("source_file"), node_line(F.col("line"), F.lit(""))))
+        """cards() of the graph, published with it or made once for this generation."""
+        if self.made is None:
+            self.made = G.cut(cards(self.graph))
+        return self.made
 
 
 class Tools:
@@ -124,7 +168,7 @@ class Tools:
         hits += [(x, ANCHOR_SCORE, "anchor") for x in anchors]
         if len(hits) < k:
             lists = [R.ranked(L.scores(g.index, query, repos), tests=tests)]
-            q = self.embed(query) if self.embed else None
+            q = self.embed(instructed(str(g.manifest.get("embedding_model", "")), query)) if self.embed else None
             if q is not None and g.vectors is not None:
                 lists.append(R.ranked(V.top_k(g.vectors, q, 10_000, repos) if tests is None else self._all_scores(g, q, repos), tests=tests))
             else:
@@ -215,18 +259,15 @@ class Tools:
         found = {}
         if g.snippets is not None and hits.rows:
             found = {r["key"]: r for r in g.snippets.where(F.col("key").isin([h["key"] for h in hits.rows])).collect()}
-        started = g.manifest.get("sync_started_at") or g.manifest.get("created_at") or 0
-        cards, spent, truncated = [], 0, False
-        for h in hits.rows:  # thirty cards at most
-            s = found.get(h["key"])
-            snippet = s["snippet"] if s else ""
-            cost = max(1, (len(snippet) + len(h["label"]) + len(h["citation"])) // 4)
-            if spent + cost > budget:
-                truncated = True
-                break
-            spent += cost
-            cards.append({**h, "snippet": snippet, "confidence": "EXTRACTED", "snippet_stale": bool(s and s["modified"] and s["modified"] > started), "tokens": cost})
-        return Result(cards, hits.degraded, {"tokens": spent, "truncated": truncated})
+        started = _epoch(g.manifest.get("sync_started_at") or g.manifest.get("created_at"))
+        cost = lambda h: max(1, (len(found[h["key"]]["snippet"] if h["key"] in found else "") + len(h["label"]) + len(h["citation"])) // 4)
+        costs = self.spark.createDataFrame([(i, cost(h)) for i, h in enumerate(hits.rows)], "place int, cost long")
+        fits = {r["place"]: r["cost"] for r in within_budget(costs, ["place"], budget).collect()}  # thirty cards at most
+        out = []
+        for i, c in sorted(fits.items()):
+            h, s = hits.rows[i], found.get(hits.rows[i]["key"])
+            out.append({**h, "snippet": s["snippet"] if s else "", "confidence": "EXTRACTED", "snippet_stale": bool(s and s["modified"] and s["modified"] > started), "tokens": c})
+        return Result(out, hits.degraded, {"tokens": sum(fits.values()), "truncated": len(fits) < len(hits.rows)})
 
     # -- traversal -----------------------------------------------------------------
 
@@ -235,7 +276,7 @@ class Tools:
         n = self._generation().graph.keyed().where(F.col("repo") == repo)
 
         def ids(cond) -> list[str]:
-            return sorted(r["id"] for r in n.where(cond).select("id").collect())
+            return [r["id"] for r in n.where(cond).select("id").orderBy("id").limit(MAX_TRAVERSED + 1).collect()]  # more are cut off by the walk anyway
 
         def labels(name: str) -> list[str]:
             low = name.lower()
@@ -296,12 +337,10 @@ class Tools:
 
     def _near(self, node: str, repo: str) -> list[str]:
         short = node.split("::", 1)[0].strip().rstrip("\\").rsplit("\\", 1)[-1] or node
-        want = short.lower()
-        labels = self._generation().graph.nodes.where((F.col("repo") == repo) & (F.coalesce("label", F.lit("")) != "")).select("label").distinct()
-        # a label that shares six tenths of its letters has a length near the query's, so few labels come to the driver
-        close = labels.where(F.length("label").between(math.floor(len(want) * 0.42), math.ceil(len(want) * 2.34))).orderBy(F.levenshtein(F.lower("label"), F.lit(want)), "label").limit(1000)
-        by = {r["label"].lower(): r["label"] for r in sorted(close.collect())}
-        return [by[x] for x in difflib.get_close_matches(want, list(by), n=MAX_SUGGESTIONS, cutoff=0.6)]
+        labels = self._generation().graph.nodes.where((F.col("repo") == repo) & (F.coalesce("label", F.lit("")) != "")).groupBy(F.lower("label").alias("x")).agg(F.max("label").alias("label"))
+        found = closest(labels.select("x"), short.lower(), 0.6)
+        shown = {r["x"]: r["label"] for r in labels.where(F.col("x").isin(found)).collect()}
+        return [shown[x] for x in found]
 
     def _fixed(self, node, repo, relations, direction, depth, inferred=False) -> Result:
         g, repo = self._generation(), self._repo(repo)
@@ -316,13 +355,17 @@ class Tools:
 
     # -- routes ----------------------------------------------------------------------
 
-    def _judged(self, matched: DataFrame) -> DataFrame:
-        return Rt.judged(Rt.evidence(self._generation().graph, matched))
+    def _judged(self, matched: DataFrame, root: str | None = None) -> DataFrame:
+        return Rt.judged(Rt.evidence(self._generation().graph, matched, root))
 
     def _suggest(self, arg: str, routes: DataFrame, cutoff: float) -> list[str]:
         names = routes.select(F.explode(F.array("path", F.coalesce("route_name", F.lit("")))).alias("x")).where("x <> ''").distinct()
-        near = names.orderBy(F.levenshtein("x", F.lit(arg.strip())), "x").limit(1000)
-        return difflib.get_close_matches(arg.strip(), sorted(r["x"] for r in near.collect()), n=MAX_SUGGESTIONS, cutoff=cutoff)
+        return closest(names, arg.strip(), cutoff)
+
+    @staticmethod
+    def _shown(route: dict) -> dict:
+        """A route's card: on v2 data it shows the file it is declared in, as far as that lies in the repo."""
+        return {**route, "source_file": route["declared"]} if route["v2"] else route
 
     def route_handler(self, route, repo) -> Result:
         g, repo, arg = self._generation(), self._repo(repo), _text("route", route)
@@ -333,7 +376,7 @@ class Tools:
         if routes.isEmpty():
             return Result(degraded=["no_routes_indexed"], info={"resolved": False})
         hit = Rt.ordered(Rt.resolve(routes, arg))
-        rows = [r.asDict(recursive=True) for r in self._judged(hit).collect()]
+        rows = [self._shown(r.asDict(recursive=True)) for r in self._judged(hit, self.reg.root(repo)).collect()]
         match = rows[0]["match"] if rows else None
         marks = ["route_template_missing"] if Rt.template_skipped(routes, arg, match) else []
         info = {"resolved": bool(rows), "match": match, "incomplete": bool(marks)}
@@ -341,25 +384,28 @@ class Tools:
             info["suggestions"] = self._suggest(arg, routes, 0.3)
         if not rows:
             marks.append("node_not_found")
-        if any(r["mesh_reason"] for r in rows):
-            marks += sorted({r["mesh_reason"] for r in rows if r["mesh_reason"]})
-        return Result(sorted(rows, key=lambda r: (r["source_file"] or "", r["line"] or 0, r["path"], r["id"])), sorted({*marks, *g.degraded}), info)
+        marks += [m for r in rows for m in r["marks"]]
+        info["notes"], missing, info["providers"] = Rt.notes(g.graph.edges, routes, hit)
+        if match == Rt.TIERS[4]:
+            info["notes"].append(Rt.NOTES["ancestor"])
+        return Result(sorted(rows, key=lambda r: (r["source_file"] or "", r["line"] or 0, r["path"], r["id"])), sorted({*marks, *missing, *g.degraded}), info)
 
     def controller_outline(self, target, repo) -> Result:
         g, repo, arg = self._generation(), self._repo(repo), _text("target", target)
         routes = Rt.routes(g.graph.nodes.where(F.col("repo") == repo))
         if routes.isEmpty():
             return Result(degraded=["no_routes_indexed"], info={"resolved": False})
-        judged = self._judged(routes)
+        judged = self._judged(routes, self.reg.root(repo))
         listed = Rt.controller_files(judged)
         files = Rt.outline_files(listed, arg)
         hit = listed.join(files, "file")
-        rows = [r.asDict(recursive=True) for r in hit.join(judged, "id").orderBy("file", "path", "id").limit(500).collect()]
+        rows = [self._shown(r.asDict(recursive=True)) for r in hit.join(judged, "id").orderBy("file", "path", "id").limit(MAX_ROUTES).collect()]
         if not rows:
-            names = sorted(r["file"] for r in listed.select("file").distinct().orderBy(F.levenshtein("file", F.lit(arg)), "file").limit(1000).collect())
-            return Result(degraded=["node_not_found"], info={"resolved": False, "suggestions": difflib.get_close_matches(arg, names, n=MAX_SUGGESTIONS, cutoff=0.4)})
+            return Result(degraded=["node_not_found"], info={"resolved": False, "suggestions": closest(listed.select(F.col("file").alias("x")).distinct(), arg, 0.4)})
         cov = Rt.coverage(judged.join(hit.select("id").distinct(), "id", "left_semi")).collect()
-        return Result(rows, list(g.degraded), {"resolved": True, "match": rows[0]["match"], "files": sorted({r["file"] for r in rows}), "coverage": {r["bucket"]: r["n_routes"] for r in cov}})
+        said, missing, providers = Rt.notes(g.graph.edges, routes, routes.join(hit.select("id").distinct(), "id", "left_semi"))
+        marks = sorted({*(m for r in rows for m in r["marks"]), *missing, *g.degraded})
+        return Result(rows, marks, {"resolved": True, "notes": said, "providers": providers, "match": rows[0]["match"], "files": sorted({r["file"] for r in rows}), "coverage": {r["bucket"]: r["n_routes"] for r in cov}})
 
     def list_repos(self, cwd=None) -> Result:
         g, ids = self.gen, self.reg.enabled()

@@ -22,22 +22,39 @@ class Table:
 
 
 # Which files count as code and which as text, by version.
-_CODE_1 = ".py .php .ts .tsx .js .jsx .go .rs .java .rb .c .h .cpp .hpp .cs .kt .swift .vue"
-_TEXT_1 = ".md .mdx .rst .txt .yaml .yml .json .toml .ini .cfg .conf .env.example"
-_CODE_2 = (
-    ".asd .astro .bash .c .cbl .cc .cjs .cl .cls .cob .cobol .cpp .cpy .cs .cshtml .csproj .cts .cu .cuh .cxx .dart .dfm .dm .dme .dmf .dmi .dmm .dpk .dpr .ejs .erl .escript .ets .ex .exs .f .f03 .f08 .f90 .f95 .fsproj .go .gradle .groovy .h .hcl .hpp .hrl .inc .java .jl .js .json .jsx .kt .kts .lfm .lisp .lpk .lpr .lsp .lua .luau .m .metal .mjs .ml .mli .mm .mts .pas .php .pp .ps1 .psd1 .psm1 .py .r .rake .razor .rb .resource .robot .rs .scala .sh .sln .slnx .sol .sql .sv .svelte .svh .swift .tf .tfvars .toc .trigger .ts .tsx .v .vb .vbproj .vh .vue .xaml .yaml .yml .zig"
-)
-_TEXT_2 = ".md .mdx .rst .txt"
-_NAMES = "apm.yml apm.yaml pyproject.toml cargo.toml go.mod pom.xml"
-_LOCKS = "package-lock.json yarn.lock pnpm-lock.yaml Cargo.lock poetry.lock Gemfile.lock composer.lock go.sum go.work.sum"
-PRUNED = ".git node_modules vendor docs doc __pycache__ .venv venv dist build .idea .vscode target site-packages .pytest_cache .mypy_cache .ruff_cache .tox .nox .eggs __snapshots__ .next .nuxt .turbo .cache".split()
-
-
-def _set(words: str) -> frozenset[str]:
-    return frozenset(words.split())
-
+CODE_1 = frozenset({
+    ".py", ".php", ".ts", ".tsx", ".js", ".jsx", ".go", ".rs", ".java", ".rb", ".c", ".h", ".cpp", ".hpp",
+    ".cs", ".kt", ".swift", ".vue",
+})
+TEXT_1 = frozenset({
+    ".md", ".mdx", ".rst", ".txt", ".yaml", ".yml", ".json", ".toml", ".ini", ".cfg", ".conf", ".env.example",
+})
+CODE_2 = frozenset({
+    ".asd", ".astro", ".bash", ".c", ".cbl", ".cc", ".cjs", ".cl", ".cls", ".cob", ".cobol", ".cpp", ".cpy", ".cs",
+    ".cshtml", ".csproj", ".cts", ".cu", ".cuh", ".cxx", ".dart", ".dfm", ".dm", ".dme", ".dmf", ".dmi", ".dmm", ".dpk",
+    ".dpr", ".ejs", ".erl", ".escript", ".ets", ".ex", ".exs", ".f", ".f03", ".f08", ".f90", ".f95", ".fsproj", ".go",
+    ".gradle", ".groovy", ".h", ".hcl", ".hpp", ".hrl", ".inc", ".java", ".jl", ".js", ".json", ".jsx", ".kt", ".kts",
+    ".lfm", ".lisp", ".lpk", ".lpr", ".lsp", ".lua", ".luau", ".m", ".metal", ".mjs", ".ml", ".mli", ".mm", ".mts",
+    ".pas", ".php", ".pp", ".ps1", ".psd1", ".psm1", ".py", ".r", ".rake", ".razor", ".rb", ".resource", ".robot", ".rs",
+    ".scala", ".sh", ".sln", ".slnx", ".sol", ".sql", ".sv", ".svelte", ".svh", ".swift", ".tf", ".tfvars", ".toc", ".trigger",
+    ".ts", ".tsx", ".v", ".vb", ".vbproj", ".vh", ".vue", ".xaml", ".yaml", ".yml", ".zig",
+})
+TEXT_2 = frozenset({
+    ".md", ".mdx", ".rst", ".txt",
+})
+NAMES = frozenset({
+    "apm.yml", "apm.yaml", "pyproject.toml", "cargo.toml", "go.mod", "pom.xml",
+})
+LOCKS = frozenset({
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock", "Gemfile.lock", "composer.lock", "go.sum", "go.work.sum",
+})
+PRUNED = [
+    ".git", "node_modules", "vendor", "docs", "doc", "__pycache__", ".venv", "venv", "dist", "build", ".idea", ".vscode",
+    "target", "site-packages", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", ".nox", ".eggs", "__snapshots__", ".next", ".nuxt", ".turbo",
+    ".cache",
+]
 
-TABLES = {1: Table(1, _set(_CODE_1), _set(_TEXT_1)), 2: Table(2, _set(_CODE_2), _set(_TEXT_2), _set(_NAMES), _set(_LOCKS)), 3: Table(3, _set(_CODE_2), _set(_TEXT_2), _set(_NAMES), _set(_LOCKS))}
+TABLES = {1: Table(1, CODE_1, TEXT_1), 2: Table(2, CODE_2, TEXT_2, NAMES, LOCKS), 3: Table(3, CODE_2, TEXT_2, NAMES, LOCKS)}
 
 # What likely holds secrets.
 STORES, AMBIGUOUS = [".ssh", ".gnupg", ".aws", ".gcloud"], ["secrets", ".secrets", "credentials"]

@@ -29,6 +29,9 @@ class Registry:
     def enabled(self) -> list[str]:
         return sorted(r.repo_id for r in self.repos if r.enabled)
 
+    def root(self, repo_id: str) -> str | None:
+        return next((r.root for r in self.repos if r.repo_id == repo_id), None)
+
     def digest(self) -> str:
         rows = sorted((r.repo_id, r.root, r.collection_path, r.enabled) for r in self.repos)
         return hashlib.sha256(json.dumps(rows).encode()).hexdigest()

@@ -101,11 +101,30 @@ def test_config_paths(spark):
     assert {r["id"]: r["path"] for r in G.config_paths(graph(spark, n, e)).collect()} == {"a": "db", "b": "db.host"}
 
 
+def test_repo_fingerprints_tell_changes(spark):
+    n, e = [node("a", ord=0), node("b", ord=1), node("c", "r2")], [edge("a", "b"), edge("a", "c")]
+    f = lambda n, e: {r["owner"]: r["fingerprint"] for r in G.repo_fingerprints(graph(spark, n, e)).collect()}
+    one = f(n, e)
+    assert f(n[::-1], e[::-1]) == one and f(n, [*e, edge("c", "a")]) == one  # edges between repos are not inside one
+    two = f([node("a", ord=0, label="x"), *n[1:]], e)
+    assert two["a"] != one["a"] and two["r2"] == one["r2"] and f(n, e[1:])["a"] != one["a"]
+    with pytest.raises(ValueError, match="twice"):
+        G.same_structure(graph(spark, n, e), graph(spark, [*n, n[0]], e))
+
+
+def test_config_paths_of_any_depth(spark):
+    f = "c/app.json"
+    n = [node("f", label="app.json", file=f, line=1)] + [node(f"k{i}", label=f"l{i}", file=f, line=2 + i) for i in range(90)]
+    e = [edge("f" if i == 0 else f"k{i - 1}", f"k{i}", "contains") for i in range(90)]
+    got = {r["id"]: r["path"] for r in G.config_paths(graph(spark, n, e)).collect()}
+    assert got == {f"k{i}": ".".join(f"l{j}" for j in range(i + 1)) for i in range(90)}
+
+
 def test_terms(spark):
-    cases = ["XMLHttpRequest", "snake_case_Word", "App\\Service\\FooBar::run", "Éclair naïve", "", None, "a.b-c/d", "HTTPServer2Go"]
+    cases = ["ﬁne Ǆ naïve Łódź straße 漢字 É_x", "XMLHttpRequest", "snake_case_Word", "App\\Service\\FooBar::run", "Éclair naïve", "", None, "a.b-c/d", "HTTPServer2Go"]
     got = [r[0] for r in spark.createDataFrame([(c,) for c in cases], "x string").select(X.terms(F.col("x"))).collect()]
     assert got == [lexical.query_terms(c) for c in cases]
-    assert got[0] == ["http", "request", "xml", "xmlhttprequest"]
+    assert got[1] == ["http", "request", "xml", "xmlhttprequest"]
 
 
 def test_paths_and_citations(spark):
@@ -130,6 +149,7 @@ def test_index(spark):
     assert [r["key"].split("\x1f")[2] for r in lexical.alias_keys(i, " FooBar ").collect()] == ["App\\FooBar"]
     s = {r["key"].split("\x1f")[2]: r["score"] for r in lexical.scores(i, "foo name", ["b"]).collect()}
     assert s["App\\FooBar"] == pytest.approx(np.log(1 + 3 / 1) * (3 + 1.5) + np.log(1 + 3 / 1))
+    assert [(r["term"], r["field"]) for r in lexical.probe(i["postings"], i["documents"], ["foo", "name", "run"], ["b\x1fsrc/FooBar.php\x1fApp\\FooBar"]).orderBy("term", "field").collect()] == [("foo", "label"), ("foo", "path"), ("name", "snippet")]
     assert lexical.unpack(lexical.pack(i["postings"])).exceptAll(i["postings"].select("term", "doc_id", "field")).isEmpty()
 
 
@@ -177,6 +197,19 @@ def test_mutual_pairs(spark):
     assert {(x["key_a"], x["key_b"]) for x in vector.mutual(vector.candidates(v, 3, 0.3)).collect()} == want
     assert vector.mutual(vector.bucketed(v, 6, 3, 0.3)).count() <= len(want) + 20
     assert vector.candidates(v.limit(0)).count() == 0
+    odd = v.unionByName(spark.createDataFrame([("r1", "r1\x1fo\x1fo", [1.0, 2.0])], v.schema))
+    assert {(x["key_a"], x["key_b"]) for x in vector.mutual(vector.candidates(odd, 3, 0.3)).collect()} == want
+
+
+def test_buckets_find_close_pairs(spark):
+    r = np.random.default_rng(4)
+    base = r.normal(size=(60, 32))
+    near = base + r.normal(size=base.shape) * 0.55
+    rows = [(f"r{s}", f"r{s}\x1ff\x1f{i}", x.tolist()) for s, m in enumerate((base, near)) for i, x in enumerate(m)]
+    v = spark.createDataFrame(rows, "repo string, key string, vec array<float>")
+    pairs = lambda df: {(x["key_a"], x["key_b"]) for x in vector.mutual(df).collect()}
+    exact, found = pairs(vector.candidates(v, floor=0.82)), pairs(vector.bucketed(v, 32, floor=0.82, n=8, tables=16))
+    assert len(exact) > 30 and len(exact & found) >= 0.9 * len(exact)
 
 
 def test_fallback_pairs_are_capped(spark):
@@ -205,7 +238,13 @@ def test_names_carry_and_ground(spark):
     before = spark.createDataFrame([(1, x, "s1", "Old", False) for x in "abc"] + [(2, x, "s2", "Gone", False) for x in "xyz"], "group int, id string, signature string, name string, provisional boolean")
     now = spark.createDataFrame([(7, "a", "n"), (7, "b", "n"), (7, "d", "n"), (8, "x", "s2"), (9, "q", "m")], "group int, id string, signature string")
     assert {(r["group"], r["name"]) for r in community.carried_names(now, before).collect()} == {(7, "Old"), (8, "Gone")}
-    assert community.grounded("User Billing", ["BillingService"]) and not community.grounded("Weather", ["BillingService"])
+    cases = [("User Billing", ["BillingService"], True), ("Weather", ["BillingService"], False), ("Anything", [], True), ("Anything", ["utils", "src"], True), ("Data Transfer Object", ["Dto"], True), ("Of It", ["Oi"], False), ("Configuration", ["tsconfig"], True), ("Environment", ["dotenv"], True), ("Environments", ["env"], False), ("Api", ["rapid"], False), ("Config", ["tsconfig"], True), ("Migrations", ["Migration"], True), ("Settings", ["setFoo"], False), ("Policies", ["PolicyStore"], True), ("Sanitization", ["sanitize"], True), ("configuration", ["conf.py"], True)]
+    df = spark.createDataFrame([(str(i), n, t) for i, (n, t, _) in enumerate(cases)], "group string, name string, texts array<string>")
+    assert {int(r["group"]): r["grounded"] for r in community.fits(df).collect()} == {i: want for i, (_, _, want) in enumerate(cases)}
+    names = {"ref_a_b/c.d-e": "a b c d e", "App\\Foo": "App Foo", "___": "___", "Community_7": "Community_7", "x": "x", "ref_": "ref_"}
+    assert {r["n"]: r["o"] for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", community.orphan_name(F.col("n")).alias("o")).collect()} == names
+    said = community.labelled(df.where("group in ('0', '1', '2')"), lambda groups: [None if "Billing" not in str(g) else "Billing" for g in groups])
+    assert {(r["group"], r["name"], r["provisional"]) for r in said.collect()} == {("0", "Billing", False), ("1", "Billing", False), ("2", "Anything", True)}
 
 
 def test_validators(spark):
@@ -214,6 +253,8 @@ def test_validators(spark):
     assert {r["missing"] for r in validate.dangling(g).collect()} == {"lost", "bare"}
     assert set(validate.check_all(g)) == {"dangling", "forbidden"}
     assert validate.least_count(10) == 9 and validate.shrink_errors((10, 10), (8, 10)) and not validate.shrink_errors((10, 10), (8, 10), (2, 0))
+    reg = spark.createDataFrame([("a", "/w/a", "/w/c/a", True), ("a", "/x/a", "/w/c/b", True), ("off", "/q", "/q", False)], "repo_id string, root string, collection_path string, enabled boolean")
+    assert [tuple(r) for r in validate.outside(reg, ["/w"]).collect()] == [("a", "root", "/x/a")] and validate.duplicates(reg).count() == 1
     assert validate.manifest_errors({}) and validate.schema_errors(graph(spark, [node(None)], [])).count() == 1
 
 
@@ -249,9 +290,36 @@ def test_route_coverage(spark):
     assert got["3"] == ("authorization_covered", None) and got["4"] == ("undecided", "guard-missing") and got["5"][0] == "pattern_check_only"
 
 
-def test_repo_paths():
-    assert routes.repo_path("/r/src/a.php", "/r") == ("src/a.php", False)
-    assert routes.repo_path("C:\\x", "/r") == ("", True) and routes.repo_path("../x", "/r") == ("", True) and routes.repo_path("a/../b", None) == ("b", False)
+def test_routes_of_v2_that_contradict_themselves(spark):
+    v2 = lambda i, **more: route(i, f"/{i}", True, f"/{i}", **more)
+    n = [
+        v2("1", handler_kind="method"), v2("2", handler_kind="closure"), v2("3", handler_kind="closure", authorization_state="not_proven"), v2("4", handler_kind="method", authorization_state="not_proven"),
+        v2("5", handler_kind="odd", authorization_state=7, effective_guards="g"), v2("6", authorization_state="covered"), v2("7", authorization_state="not_proven", effective_guards=[]), v2("8", authorization_state="not_proven", declared_in="/elsewhere/x.php"), v2("9", authorization_state="undecided", authorization_reason="why"),
+        route("l", "/l"), node("m", "s", "M"), node("m2", "s", "M2", "/host/a.php"), node("ga", "s", kind="access_guard", attrs='{"guard_kind": "authorization", "guard_key": "k", "provider": "p"}'), node("w", "s"),
+    ]
+    e = [edge(x, "m", "handled_by", attrs='{"_via": "attribute", "provider": "q"}') for x in "2467"] + [edge("8", "m2", "handled_by"), edge("7", "ga", "guarded_by", attrs='{"_via": "config", "guard_kind": 5}'), edge("m2", "w", "checks_access", attrs='{"check_call": "isGranted", "check_kind": "framework", "guard_kind": "public"}')]
+    g = graph(spark, n, e)
+    got = {r["id"]: r for r in routes.judged(routes.evidence(g, routes.routes(g.nodes), "/repo")).collect()}
+    why = {i: r["distrust_reason"] for i, r in got.items()}
+    bad = "producer-inconsistent"
+    assert why == {"1": bad, "2": bad, "3": None, "4": None, "5": None, "6": bad, "7": bad, "8": None, "9": None, "l": None}
+    assert {i: (r["bucket"], r["reason"]) for i, r in got.items() if i in "34589"} == {"3": ("no_indexed_check", None), "4": ("no_indexed_check", None), "5": ("undecided", "authorization-state-missing"), "8": ("undecided", "access-check-kind-unknown"), "9": ("undecided", "why")}
+    marks = {i: set(r["marks"]) for i, r in got.items()}
+    assert marks["5"] == {"route_field_invalid"} and marks["7"] == {"route_field_invalid", "route_producer_inconsistent"} and marks["8"] == {"declared_in_outside_repo"} and marks["4"] == set() == marks["l"]
+    assert got["7"]["guards"][0].asDict() == {"guard": "ga", "label": "ga", "scope": "route", "attribute": None, "kind": "authorization", "provider": "p", "via": "config", "guard_key": "k"}
+    h = got["8"]["handlers"][0]
+    assert h["file"] == "" and h["key"] is None and got["4"]["handlers"][0]["via"] == "attribute" and got["4"]["handlers"][0]["key"]
+    assert {r["reason"]: r["n_routes"] for r in routes.reasons(routes.judged(routes.evidence(g, routes.routes(g.nodes)))).collect()}[bad] == 4
+    said, missing, providers = routes.notes(g.edges, routes.routes(g.nodes), routes.routes(g.nodes))
+    assert len(said) == 2 and not missing and providers == []
+
+
+def test_paths_in_repo(spark):
+    cases = {"/r/src/a.php": ("src/a.php", False), "C:\\x": ("", True), "../x": ("", True), "a/../b": ("b", False), "a/./b//c": ("a/b/c", False), "/q/x": ("", True), "": ("", False), ".": ("", True), "a/..": ("", True), "a/../../b": ("", True), "\\\\host\\x": ("", True), "/r": ("", True)}
+    df = spark.createDataFrame([(x,) for x in cases], "p string")
+    got = {r["p"]: (r["a"], r["b"]) for r in df.select("p", *[c.alias(n) for n, c in zip("ab", routes.path_in_repo(F.col("p"), "/r"))]).collect()}
+    assert got == cases
+    assert df.where("p = '/r/src/a.php'").select(*[c.alias(n) for n, c in zip("ab", routes.path_in_repo(F.col("p")))]).first()["b"]
 
 
 def test_nodelink(spark, tmp_path):
@@ -355,6 +423,51 @@ def test_build_publishes(spark, built):
     assert again["status"] == "refused" and "shrink" in again["errors"]
 
 
+def test_what_a_run_keeps_and_refuses(spark, built, tmp_path):
+    """Vectors of another model are not reused; a sick embedder's run carries what it has; a failed gate publishes nothing; stale keys reach the served generation."""
+    tables, m = publish.read(spark, built[0], verify=True)
+    a = lambda: {"a": graph(spark, [node("u", None, "UserService", "src/user.py", 1, ord=0), node("b", None, "Base", "src/base.py", 2, ord=1)], [edge("u", "b", "inherits")])}
+    small = {k: v for k, v in tables.items() if k != "nodes"} | {"nodes": tables["nodes"].limit(2), "edges": tables["edges"].limit(1)}
+    calls = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        calls.add(len(texts))
+        return [[1.0, 2.0, 3.0] for _ in texts]
+
+    run = lambda **more: sync.build(spark, str(tmp_path / "g"), a(), None, embed, before=small, **more)
+    assert run(model="toy", before_manifest=m)["status"] == "published"
+    same = calls.value
+    assert run(model="other", before_manifest=m)["status"] == "published" and calls.value > same
+    got = sync.load(spark, str(tmp_path / "g"))
+    assert {tuple(r["vec"]) for r in got.vectors.collect()} == {(1.0, 2.0, 3.0)}
+    sick = run(model="toy", before_manifest=m, healthy=lambda: False)
+    assert sick["embedding"] == "partial" and sick["stale_shards"] == ["a"]
+    assert sync.load(spark, str(tmp_path / "g")).vectors.count() >= 1
+    assert run(model="other", before_manifest=m, healthy=lambda: False)["missing_shards"] == ["a"]
+    states = spark.createDataFrame([(True, False, False), (False, False, False)], "blocking boolean, unrefreshed boolean, in_grace boolean")
+    before = publish.current(str(tmp_path / "g"))
+    refused = run(model="toy", before_manifest=m, states=states)
+    assert refused["status"] == "refused" and "gate" in refused["errors"] and publish.current(str(tmp_path / "g")) == before
+    g = {"a": Graph(a()["a"].nodes.withColumn("origin", F.lit("semantic")), a()["a"].edges)}
+    changed = spark.createDataFrame([("a", "src/user.py")], "repo string, source_file string")
+    sync.build(spark, str(tmp_path / "s"), g, None, None, "toy", stale_files=changed)
+    reg = registry.Registry([registry.Repo("a", "/w/a")])
+    hits = {h["label"]: h for h in Tools(spark, sync.load(spark, str(tmp_path / "s")), reg).search("user service base", "all").rows}
+    assert hits["UserService"]["stale"] and not hits["Base"]["stale"]
+
+
+def test_artifacts_are_held_against_the_manifest(spark, tmp_path):
+    root, df = str(tmp_path), spark.range(3)
+    m = dict.fromkeys(validate.MANIFEST_KEYS, "") | {"output_node_count": 3, "output_edge_count": 3, "generation_id": "g1"}
+    publish.write(root, "g1", {"nodes": df, "edges": df}, m)
+    publish.flip(root, "g1")
+    assert publish.read(spark, root, verify=True)[1]["artifact_sha256"]["nodes"] == publish.table_hash(spark.range(3).repartition(2))
+    df.withColumn("id", F.col("id") + 1).write.mode("overwrite").parquet(f"{root}/generations/g1/nodes")
+    df.write.parquet(f"{root}/generations/g1/extra")
+    with pytest.raises(ValueError, match="extra: there and not listed; nodes: other rows"):
+        publish.read(spark, root, verify=True)
+
+
 def test_tools(spark, built):
     reg = registry.Registry([registry.Repo("a", "/w/a"), registry.Repo("b", "/w/b")])
     t = Tools(spark, sync.load(spark, built[0]), reg, cwd="/w/a")

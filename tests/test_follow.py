@@ -4,7 +4,7 @@ from tessera.sources import publish
 from tessera.streaming import Follower
 
 
-def test_follower_keeps_what_works(monkeypatch):
+def test_follower_keeps_what_works(spark, monkeypatch):
     names, loads = ["g1"], []
     monkeypatch.setattr("tessera.streaming.current", lambda root: names[-1])
 
