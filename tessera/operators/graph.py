@@ -215,6 +215,12 @@ def repo_fingerprints(g: Graph) -> DataFrame:
     return n.join(e, "owner", "left").select("owner", F.sha2(F.concat_ws("/", "_n", F.coalesce("_e", F.lit(""))), 256).alias("fingerprint"))
 
 
+def representatives(nodes: DataFrame) -> DataFrame:
+    """nodes (key, line, id, ...), one for each key: the first line, nulls last, then the least id."""
+    one = F.row_number().over(W.partitionBy("key").orderBy(F.col("line").asc_nulls_last(), "id"))
+    return nodes.where("key is not null").withColumn("_r", one).where("_r = 1").drop("_r")
+
+
 def signatures(members: DataFrame) -> DataFrame:
     """(group, signature): a hash of each group's sorted member ids; members: group, id."""
     return members.groupBy("group").agg(F.substring(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_set("id")), lambda x: F.concat(x, F.lit("\0")))), 256), 1, 16).alias("signature"))

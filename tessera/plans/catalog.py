@@ -135,15 +135,6 @@ def louvain_communities(spark: SparkSession, d: str) -> DataFrame:
     return community.cluster(T.trade(spark, d))
 
 
-@query()
-def config_key_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Regions as files, nations as keys under them, customers as keys under nations."""
-    g = T.trade(spark, d)
-    n = g.nodes.where("kind in ('region', 'nation', 'customer')").withColumn("source_file", F.concat(F.lit("conf/"), "repo", F.lit(".yaml"))).withColumn("label", F.when(F.col("kind") == "region", F.concat("repo", F.lit(".yaml"))).otherwise(F.col("label")))
-    e = g.edges.where("relation in ('part_of', 'located_in')").select(F.col("target").alias("source"), F.col("source").alias("target"), F.lit("contains").alias("relation"))
-    return graph.config_paths(Graph(n, e))
-
-
 # -- lexical -------------------------------------------------------------------
 
 _TERMS = """

@@ -45,12 +45,9 @@ def named(g: Graph, before: DataFrame | None = None, label: Callable | None = No
 
 def embedded(nodes: DataFrame, before: DataFrame | None, recipe: str, before_recipe: str, embed: Callable[[list[str]], list[list[float]]] | None, batch: int = 16) -> DataFrame:
     """(repo, key, content_hash, vec) of keyed nodes (repo, key, label, source_file, snippet, line, id): kept where the text is the same, made in batches where not. Accessors of two lines get none."""
-    from pyspark.sql import Window as W
-
     from ..functions.text import content_hash, embedding_text, is_trivial
 
-    one = F.row_number().over(W.partitionBy("key").orderBy(F.col("line").asc_nulls_last(), "id"))
-    n = nodes.where("key is not null").withColumn("_r", one).where("_r = 1").withColumn("text", embedding_text(F.col("label"), F.col("source_file"), F.col("snippet"))).withColumn("trivial", is_trivial(F.col("label"), F.col("snippet")))
+    n = G.representatives(nodes).withColumn("text", embedding_text(F.col("label"), F.col("source_file"), F.col("snippet"))).withColumn("trivial", is_trivial(F.col("label"), F.col("snippet")))
     now = n.select("repo", "key", F.when(~F.col("trivial"), content_hash(F.col("text"))).alias("content_hash"), "text")
     kept = incremental.reuse(now.select("repo", "key", "content_hash"), before, recipe, before_recipe) if before is not None else now.select("repo", "key", "content_hash").withColumn("vec", F.lit(None).cast("array<float>"))
     if embed is None:
