@@ -150,12 +150,44 @@ class IgnoreRules:
         return False
 
 
-def digests(files: DataFrame, version: int = 3) -> DataFrame:
+def _placed(line: str, folder: str) -> str:
+    """A rule of a folder's file as one of the repo's."""
+    if not folder or not line.strip() or line.startswith("#"):
+        return line
+    back, body = ("!", line[1:]) if line.startswith("!") else ("", line)
+    inner = body.lstrip("/") if "/" in body.rstrip("/") else f"**/{body}"
+    return f"{back}{folder}/{inner}"
+
+
+def ignore_rules(files: DataFrame, names: tuple[str, ...] = (".gitignore",), most: int = 1 << 20, tracked: dict[str, frozenset[str]] | None = None) -> dict[str, IgnoreRules]:
+    """The rules of each repo from its rule files, folders nearest the root first; files over most bytes do not count. Rule files alone come to the driver."""
+    found = files.where(_name(F.col("path")).isin(*names) & (F.octet_length("content") <= most)).select("repo", "path", "content").collect()
+    lines: dict[str, list[str]] = {}
+    for r in sorted(found, key=lambda r: (r["repo"], r["path"].count("/"), r["path"])):
+        folder = r["path"].rpartition("/")[0]
+        lines.setdefault(r["repo"], []).extend(_placed(x, folder) for x in bytes(r["content"]).decode("utf-8", "replace").splitlines())
+    return {repo: IgnoreRules(x, (tracked or {}).get(repo, frozenset())) for repo, x in lines.items()}
+
+
+def not_ignored(files: DataFrame, rules: dict[str, IgnoreRules]) -> DataFrame:
+    """files (repo, path, ...) that no rule of their repo ignores."""
+    if not rules:
+        return files
+
+    @F.pandas_udf("boolean")
+    def ignored(repo, path):
+        return pd.Series([r in rules and rules[r].ignores(p) for r, p in zip(repo, path, strict=True)])
+
+    return files.where(~ignored("repo", "path"))
+
+
+def digests(files: DataFrame, version: int = 3, rules: dict[str, IgnoreRules] | None = None) -> DataFrame:
     """(repo, code_hash, semantic_hash, file_count, has_sql) of files (repo, path, content).
 
-    A hash covers path, size and content of each file of its category, in path order; pruned folders and likely secrets
-    do not count.
+    A hash covers path, size and content of each file of its category, in path order; pruned folders, likely secrets
+    and what the repo's rules ignore do not count.
     """
+    files = not_ignored(files, rules or {})
     parts = F.split("path", "/")
     f = files.where(~F.arrays_overlap(F.slice(parts, F.lit(1), F.greatest(F.lit(0), F.size(parts) - 1)), F.array(*map(F.lit, PRUNED))))
     f = f.where(~is_sensitive(F.concat(F.lit("/"), "path"))) if version >= 3 else f

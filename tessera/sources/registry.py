@@ -100,41 +100,83 @@ def resolve_repos(reg: Registry, repos: list[str] | None, exclude: list[str] | N
     return left
 
 
-def discover(roots: list[str], marker: str = ".git", depth: int = 4) -> tuple[list[str], list[tuple[str, str]]]:
-    """Folders up to depth below the roots that hold the marker, and (path, error) of those that could not be read. Links out of a root are not followed."""
+@dataclass(frozen=True)
+class Link:
+    """A folder that holds the marker, and where that leads: to itself, or as a link elsewhere; nowhere if broken."""
+
+    root: str
+    target: str | None
+    rejected: bool = False
+
+
+def _under(path: str, roots: list[str]) -> bool:
+    return any((path + os.sep).startswith(r.rstrip(os.sep) + os.sep) for r in roots)
+
+
+def discover(roots: list[str], marker: str = ".git", depth: int = 4, approved: list[str] | None = None) -> tuple[list[Link], list[tuple[str, str]]]:
+    """Folders up to depth below the roots that hold the marker, and (path, error) of those that could not be read.
+
+    Links out of a root are not followed. A marker that leads out of the approved roots (by default the roots
+    themselves) is rejected.
+    """
     if not 1 <= depth <= 8:
         raise ValueError("depth is 1 to 8")
-    found, errors = [], []
-    for root in roots:
-        top = os.path.realpath(root)
-        todo = [(top, 0)]
-        while todo:
-            at, d = todo.pop()
-            try:
-                names = sorted(os.listdir(at))
-            except OSError as e:
-                errors.append((at, type(e).__name__))
-                continue
-            if marker in names:
-                found.append(at)
-            for n in names if d < depth else ():
-                p = os.path.join(at, n)
-                real = os.path.realpath(p)
-                if not n.startswith(".") and os.path.isdir(p) and (real + os.sep).startswith(top + os.sep):
-                    todo.append((real, d + 1))
-    return sorted(set(found)), errors
-
-
-def reconcile(reg: Registry, found: list[str], errors: list[tuple[str, str]]) -> dict[str, list[str]]:
-    """Repos by state: registered (found), missing (root is gone), hidden (a failed scan may hide it), unregistered, duplicates (one root, several ids)."""
-    real = {r.repo_id: os.path.realpath(r.root) for r in reg.repos}
-    have = set(found)
-    failed = [os.path.realpath(p) for p, _ in errors]
-    hidden = lambda p: any((p + os.sep).startswith(f.rstrip(os.sep) + os.sep) for f in failed)
-    out: dict[str, list[str]] = {k: [] for k in ("registered", "missing", "hidden", "unregistered", "duplicates")}
-    for i, p in sorted(real.items()):
-        out["registered" if p in have else "hidden" if hidden(p) else "missing"].append(i)
-    out["unregistered"] = sorted(have - set(real.values()))
-    roots = list(real.values())
-    out["duplicates"] = sorted(i for i, p in real.items() if roots.count(p) > 1)
+    found: dict[str, Link] = {}
+    errors, tops = [], [os.path.realpath(r) for r in roots]
+    allowed = tops if approved is None else [os.path.realpath(r) for r in approved]
+    todo = [(top, top, 0) for top in tops]
+    while todo:
+        top, at, d = todo.pop()
+        try:
+            names = sorted(os.listdir(at))
+        except OSError as e:
+            errors.append((at, type(e).__name__))
+            continue
+        if marker in names:
+            mark = os.path.join(at, marker)
+            target = (os.path.realpath(mark) if os.path.islink(mark) else at) if os.path.exists(mark) else None
+            found[at] = Link(at, target, target is not None and not _under(target, allowed))
+        for n in names if d < depth else ():
+            real = os.path.realpath(os.path.join(at, n))
+            if not n.startswith(".") and n != marker and os.path.isdir(real) and _under(real, [top]):
+                todo.append((top, real, d + 1))
+    return [found[k] for k in sorted(found)], errors
+
+
+def reconcile(reg: Registry, links: list[Link], errors: list[tuple[str, str]], graph_file: str = "graph.json") -> dict[str, list]:
+    """What discovery says of each enabled repo, and of what is not registered.
+
+    registered: a link leads to its collection from its root, or a failed scan may hide one. renamed: (id, old root, new
+    root) where one leads there from elsewhere. broken: its root's link leads nowhere. missing: its collection is gone.
+    removed: none leads there, and the scan would have seen it. auto_add: its collection holds no graph yet. duplicates:
+    ids that share a collection. unregistered: roots that lead elsewhere. rejected: roots that lead out of bounds.
+    """
+    out: dict[str, list] = {k: [] for k in ("registered", "renamed", "broken", "missing", "removed", "auto_add", "duplicates", "unregistered", "rejected")}
+    out["rejected"] = [x.root for x in links if x.rejected]
+    good = [x for x in links if not x.rejected]
+    leads: dict[str, list[str]] = {}
+    for x in good:
+        if x.target is not None:
+            leads.setdefault(x.target, []).append(x.root)
+    broken, failed = {x.root for x in good if x.target is None}, [os.path.realpath(p) for p, _ in errors]
+    home = {r.repo_id: os.path.realpath(r.collection_path or r.root) for r in reg.repos}
+    for r in sorted(reg.repos, key=lambda r: r.repo_id):
+        if not r.enabled:
+            continue
+        root, at = os.path.realpath(r.root), home[r.repo_id]
+        there, came = os.path.exists(at), sorted(leads.get(at, []))
+        if came:
+            state, entry = ("registered", r.repo_id) if root in came else ("renamed", (r.repo_id, root, came[0]))
+        elif root in broken:
+            state, entry = "broken", r.repo_id
+        elif not there:
+            state, entry = "missing", r.repo_id
+        else:
+            state, entry = ("registered" if _under(root, failed) else "removed"), r.repo_id
+        out[state].append(entry)
+        if there and not os.path.exists(os.path.join(at, graph_file)):
+            out["auto_add"].append(r.repo_id)
+    shared = list(home.values())
+    out["duplicates"] = sorted(i for i, p in home.items() if shared.count(p) > 1)
+    out["unregistered"] = sorted(root for target, roots in leads.items() if target not in set(shared) for root in roots)
     return out

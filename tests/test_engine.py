@@ -360,8 +360,23 @@ def test_registry(tmp_path):
         registry.parse({"repos": [{"repo_id": "a", "root": "x"}, {"repo_id": "b"}]})
     (tmp_path / "p" / ".git").mkdir(parents=True)
     found, errors = registry.discover([str(tmp_path)])
-    assert found == [str(tmp_path / "p")] and not errors
-    assert registry.reconcile(registry.Registry([registry.Repo("p", str(tmp_path / "p")), registry.Repo("q", str(tmp_path / "q"))]), found, [])["missing"] == ["q"]
+    assert [x.root for x in found] == [str(tmp_path / "p")] == [found[0].target] and not errors
+
+
+def test_discovery_classes(tmp_path):
+    real = lambda *x: str(tmp_path.joinpath(*x).resolve())
+    for x in ("w/here", "w/moved", "w/cut", "w/bad", "w/lost", "w/new", "w/hid", "c/here", "c/moved", "c/gone", "c/new", "c/hid", "elsewhere"):
+        (tmp_path / x).mkdir(parents=True)
+    for x, to in (("here", "c/here"), ("moved", "c/moved"), ("cut", "c/nothing"), ("bad", "elsewhere"), ("new", "c/new")):
+        (tmp_path / "w" / x / "out").symlink_to(tmp_path / to)
+    (tmp_path / "c" / "here" / "graph.json").write_text("{}")
+    repo = lambda i, root, c: registry.Repo(i, real(root), real(c))
+    reg = registry.Registry([repo("here", "w/here", "c/here"), repo("moved", "w/old", "c/moved"), repo("cut", "w/cut", "c/nothing"), repo("lost", "w/lost", "c/lost"), repo("gone", "w/gone", "c/gone"), repo("hid", "w/hid", "c/hid"), registry.Repo("off", "/q", "/q", False)])
+    links, _ = registry.discover([str(tmp_path / "w")], "out", 2, [str(tmp_path / "w"), str(tmp_path / "c")])
+    got = registry.reconcile(reg, links, [(real("w/hid"), "PermissionError")])
+    assert got == {"registered": ["here", "hid"], "renamed": [("moved", real("w/old"), real("w/moved"))], "broken": ["cut"], "missing": ["lost"], "removed": ["gone"], "auto_add": ["gone", "hid", "moved"], "duplicates": [], "unregistered": [real("w/new")], "rejected": [real("w/bad")]}
+    with pytest.raises(ValueError):
+        registry.discover([str(tmp_path)], depth=9)
 
 
 def test_files(spark):
@@ -373,6 +388,10 @@ def test_files(spark):
     r = files.IgnoreRules(["*.log", "!keep.log", "build/", "/top.txt", "a/**/z.py"], frozenset({"tracked.log"}))
     assert [r.ignores(x) for x in ("x.log", "d/x.log", "keep.log", "build/x", "top.txt", "d/top.txt", "a/b/c/z.py", "tracked.log")] == [True, True, False, True, True, False, True, False]
     d = spark.createDataFrame([("r", "a.py", b"1"), ("r", "node_modules/b.py", b"2"), ("r", "c.md", b"3"), ("r", "q.sql", b"4")], "repo string, path string, content binary")
+    more = d.unionByName(spark.createDataFrame([("r", ".gitignore", b"# no\n*.sql\n/top.py\n"), ("r", "sub/.gitignore", b"x.py\n!keep.py\n/only.py"), ("r", "sub/deep/x.py", b"5"), ("r", "sub/deep/only.py", b"6"), ("r", "x.py", b"7"), ("r", "top.py", b"8")], d.schema))
+    rules = files.ignore_rules(more)
+    assert {r["path"] for r in files.not_ignored(more, rules).collect()} == {"a.py", "node_modules/b.py", "c.md", ".gitignore", "sub/.gitignore", "sub/deep/only.py", "x.py"}
+    assert not files.digests(more, rules=rules).first()["has_sql"] and files.digests(more).first()["has_sql"]
     row = files.digests(d).first()
     assert row["file_count"] == 3 and row["has_sql"] and len(row["code_hash"]) == 16
     assert files.snippet("\n".join(map(str, range(100))), 50).split("\n")[0] == "39" and files.snippet("a\nb", None) == "a\nb"
