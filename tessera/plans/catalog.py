@@ -217,17 +217,17 @@ def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     return ranking.fuse(one, two).select("key", F.round("score", 9).alias("score"))
 
 
-@query(", deg as (select id, count(*) as n from (select source as id from edges union all select target from edges) group by 1) select k.id, round(cast(1 as double) * case when coalesce(n, 0) > 50 then 0.5 else 1 end * case when source_file like '%/DEPRECATED/%' then 0.3 else 1 end * case when source_file like '%/tests/%' then 0.3 else 1 end, 6) as score from keyed k left join deg on k.id = deg.id where k.kind in ('supplier', 'nation', 'region')", True)
+@query(", deg as (select id, count(*) as n from (select source as id from edges union all select target from edges) group by 1) select k.id, round(cast(1 as double) * case when coalesce(n, 0) > 50 then 0.5 else 1 end * case when source_file like '%/DEPRECATED/%' then 0.3 else 1 end * case when source_file like '%/tests/%' then 0.3 else 1 end, 6) as score from keyed k left join deg on k.id = deg.id", True)
 def penalised_rank(spark: SparkSession, d: str) -> DataFrame:
     g = T.trade(spark, d)
-    n = g.nodes.where("kind in ('supplier', 'nation', 'region')").join(graph.degree(g.edges), "id", "left")
+    n = g.nodes.join(graph.degree(g.edges), "id", "left")
     return n.select("id", F.round(ranking.penalty(F.coalesce("degree", F.lit(0)), F.col("source_file"), F.lit(False), True), 6).alias("score"))
 
 
-@query(", deg as (select id, count(*) as n from (select source as id from edges union all select target from edges) group by 1), s as (select k.id as key, cast(coalesce(n, 0) as double) as score, source_file like '%/tests/%' as is_test from keyed k left join deg on k.id = deg.id where k.kind = 'supplier'), r as (select *, row_number() over (partition by is_test order by score desc, key) as p from s), t as (select * from r where p <= case when is_test then 10 else 50 end) select key, cast(row_number() over (order by is_test, score desc, key) - 1 as integer) as rank from t", True)
+@query(", deg as (select id, count(*) as n from (select source as id from edges union all select target from edges) group by 1), s as (select k.id as key, cast(coalesce(n, 0) as double) as score, coalesce(source_file like '%/tests/%', false) as is_test from keyed k left join deg on k.id = deg.id), r as (select *, row_number() over (partition by is_test order by score desc, key) as p from s), t as (select * from r where p <= case when is_test then 10 else 50 end) select key, cast(row_number() over (order by is_test, score desc, key) - 1 as integer) as rank from t", True)
 def test_split_topn(spark: SparkSession, d: str) -> DataFrame:
     g = T.trade(spark, d)
-    n = g.nodes.where("kind = 'supplier'").join(graph.degree(g.edges), "id", "left").select(F.col("id").alias("key"), F.coalesce("degree", F.lit(0)).cast("double").alias("score"), X.is_test_path(F.col("source_file")).alias("is_test"))
+    n = g.nodes.join(graph.degree(g.edges), "id", "left").select(F.col("id").alias("key"), F.coalesce("degree", F.lit(0)).cast("double").alias("score"), X.is_test_path(F.col("source_file")).alias("is_test"))
     return ranking.ranked(n.select("key", "score"), tests=n.select("key", "is_test"))
 
 
@@ -318,10 +318,10 @@ def pair_cap(spark: SparkSession, d: str) -> DataFrame:
     return overlay.admitted(_copies(spark, d), COSINE, 200).drop("line")
 
 
-@query("with x as (select c_custkey, 'r' || (c_nationkey % 5) as repo, c_mktsegment as name, c_nationkey % 4 = 0 as dev from customer), own as (select name, min(repo) as owner from x where c_custkey % 7 = 0 group by 1) select x.repo, own.owner as target, x.name, x.dev, cast(count(*) as bigint) as n, cast(case when x.dev then 0.8 else 0.95 end as double) as confidence from x join own using (name) where x.repo <> own.owner and exists (select 1 from x y where y.repo = x.repo and y.name = x.name and y.c_custkey % 3 = 0) group by 1, 2, 3, 4")
+@query("with x as (select c_acctbal, 'r' || (c_nationkey % 5) as repo, c_mktsegment as name, c_nationkey % 4 = 0 as dev from customer), own as (select name, min(repo) as owner from x where c_acctbal < 0 group by 1) select x.repo, own.owner as target, x.name, x.dev, cast(count(*) as bigint) as n, cast(case when x.dev then 0.8 else 0.95 end as double) as confidence from x join own using (name) where x.repo <> own.owner and exists (select 1 from x y where y.repo = x.repo and y.name = x.name and y.c_acctbal > 5000) group by 1, 2, 3, 4")
 def depends_on_locked(spark: SparkSession, d: str) -> DataFrame:
-    c = T.table(spark, d, "customer").select("c_custkey", F.concat(F.lit("r"), (F.col("c_nationkey") % 5).cast("string")).alias("repo"), F.lit("npm").alias("ecosystem"), F.col("c_mktsegment").alias("name"), (F.col("c_nationkey") % 4 == 0).alias("dev"))
-    got = overlay.depends_on(c, c.where("c_custkey % 7 = 0"), c.where("c_custkey % 3 = 0"))
+    c = T.table(spark, d, "customer").select("c_acctbal", F.concat(F.lit("r"), (F.col("c_nationkey") % 5).cast("string")).alias("repo"), F.lit("npm").alias("ecosystem"), F.col("c_mktsegment").alias("name"), (F.col("c_nationkey") % 4 == 0).alias("dev"))
+    got = overlay.depends_on(c, c.where("c_acctbal < 0"), c.where("c_acctbal > 5000"))
     return got.groupBy("repo", "target", "name", "dev", "confidence").agg(F.count("*").alias("n"))
 
 
@@ -345,17 +345,19 @@ def provider_consumer_match(spark: SparkSession, d: str) -> DataFrame:
     return overlay.api_matches(*_api(spark, d)).drop("p_label")
 
 
-@query("""with v as (select vec_id, label from embeddings), e as (select a.vec_id as a, b.vec_id as b, round((a.vec_id * 7 + b.vec_id * 3) % 100 / 100.0, 2) as confidence from v a join v b on a.label = b.label and a.vec_id < b.vec_id and b.vec_id - a.vec_id < 60),
+@query("""with v as (select vec_id, label, embedding[1] > 0 as near, lead(vec_id) over (partition by label order by vec_id) as b from embeddings), e as (select vec_id as a, b, round((vec_id * 7 + b * 3) % 100 / 100.0, 2) as confidence from v where b is not null),
 two as (select b as k, confidence from e where a = 10 union all select a, confidence from e where b = 10),
 best as (select k, max(confidence) as score from two group by 1),
-nb as (select vec_id as k from v where vec_id % 25 = 0)
+nb as (select vec_id as k from v where near)
 select 'r' || chr(31) || 'f' || chr(31) || k as key, cast(score as double) as score from best union all select 'r' || chr(31) || 'f' || chr(31) || k, 0.5 from nb where k not in (select k from best)""")
 def find_similar_union(spark: SparkSession, d: str) -> DataFrame:
-    v = T.table(spark, d, "embeddings").select("vec_id", "label")
+    """Each vector is linked to the next one of its label; neighbours are those on one side of the first axis."""
+    from pyspark.sql import Window as W
+
+    v = T.table(spark, d, "embeddings").select("vec_id", F.lead("vec_id").over(W.partitionBy("label").orderBy("vec_id")).alias("b"), (F.col("embedding")[0] > 0).alias("near"))
     ref = lambda c: F.struct(F.lit("r").alias("repo"), F.lit("f").alias("source_file"), c.cast("string").alias("qualified_label"))
-    pairs = v.select(F.col("vec_id").alias("a"), "label").join(v.select(F.col("vec_id").alias("b"), "label"), "label").where("a < b and b - a < 60")
-    e = pairs.select(F.lit("similar_approach").alias("type"), ref(F.col("a")).alias("source"), ref(F.col("b")).alias("target"), F.round(F.expr("(a * 7 + b * 3) % 100 / 100.0D"), 2).alias("confidence"), F.lit("embedding").alias("provenance"))
-    near = v.where("vec_id % 25 = 0").select(F.concat_ws("\x1f", F.lit("r"), F.lit("f"), F.col("vec_id").cast("string")).alias("key"))
+    e = v.where("b is not null").select(F.lit("similar_approach").alias("type"), ref(F.col("vec_id")).alias("source"), ref(F.col("b")).alias("target"), F.round(F.expr("(vec_id * 7 + b * 3) % 100 / 100.0D"), 2).alias("confidence"), F.lit("embedding").alias("provenance"))
+    near = v.where("near").select(F.concat_ws("\x1f", F.lit("r"), F.lit("f"), F.col("vec_id").cast("string")).alias("key"))
     return overlay.similar_hits("r\x1ff\x1f10", e, near).select("key", "score")
 
 
