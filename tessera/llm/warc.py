@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import written
+
 CRLF = "\r\n"
 #: Payloads under this many bytes are never revisits.
 LEAST = 100
@@ -29,11 +31,11 @@ def headers(pages: DataFrame, least: int = LEAST, date: str = DATE) -> DataFrame
 
     Of rows with equal payloads of least bytes or more that with the smallest page_id is the response (rows that
     repeat that id too), the others revisit it; rows with smaller payloads, and those of a payload that has no page_id
-    at all, are responses. Null html is an empty payload.
+    at all, are responses. Null html is an empty payload; an empty table gives an empty archive.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     heads = pages.select("page_id", "url", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("n"))
-    first = heads.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"))
+    first = written(heads.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first")), "first")
     heads = heads.join(first, "digest", "left")
     again = F.col("first").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
     ident = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
