@@ -13,27 +13,31 @@ from tessera.llm.queries import tokenizer
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, null, empty and wordless texts among them. Rows that repeat are judged alike; an empty table stays empty."""
     return rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, likeness 0.8."""
+    """One document of each group stays, the smallest doc_id: five-word shingles, likeness 0.8 by whole sets.
+
+    Null, empty and wordless texts are one group. Rows with a null doc_id stay, as do all rows that repeat the smallest
+    doc_id of their group; an empty table stays empty.
+    """
     return simhash.keep_one(docs, k=5, radius=16, likeness=0.8)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated units and runs of short ones go, but for the earliest; a document that loses all its words goes with them."""
+    """Repeated units go, but for the earliest (smallest doc_id, null last); a document that is left without words goes with them, as null and empty ones do. Rows that repeat lose alike; an empty table stays empty."""
     return units.cleaned(docs).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
 
 
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix takes a document."""
+    """A row for each time the mix takes a document; texts without words are never taken, a null source is a source of its own, rows that repeat each count; an empty table stays empty."""
     return mixing.apply_mix(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece, with its place in a sequence."""
+    """A row for each piece, with its place in a sequence. Each row packs on its own, repeated and null doc_ids included; null and empty texts give one piece, the end id; an empty table gives no row."""
     return packing.packed(docs, tokenizer("byte_bpe_50k.json"), derive={"ids_crc32": F.crc32})
 
 
