@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import written
+from .common import slices, tidied, written
 
 CAPACITY = 1024
 #: Pieces in a partition, about: a bound on a task's memory.
@@ -165,7 +165,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in slices(batches):
             rows: list[tuple] = []
             held = 0
 
@@ -187,7 +187,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY
             if rows:
                 yield out()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -239,26 +239,28 @@ def _packed_part(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = 4) -> DataFrame:
-    """(pid, sequence_id, offset) from (pid, length), pid unique and length from 1 to capacity.
+def pack(rows: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = 4) -> tuple[DataFrame, int, int]:
+    """(pid, sequence_id, offset) from (pid, length), pid unique and length from 1 to capacity; how many sequences that makes; and how many it takes at least.
 
     Full pieces are sequences of their own. Rounds end when the number of sequences meets the bound of all pieces,
     when a round saves none, or after that many.
     """
     schema = "pid long, length long, part long, bin long, offset long, slack long, gap double"
-    todo = rows.where(F.col("length") < capacity).select("pid", "length")
+    todo, whole = rows.where(F.col("length") < capacity).select("pid", "length"), rows.where(F.col("length") >= capacity)
+    full = whole.count()
     hist = {r["length"]: r["c"] for r in todo.groupBy("length").agg(F.count("*").alias("c")).collect()}  # capacity rows at most
     counts = np.zeros(capacity + 1)
     for k, c in hist.items():
         counts[k] = c
     need, n, settled, spent = int(np.ceil(lower_bound(counts, capacity) - 1e-9)), int(counts.sum()), [], 0
-    best, best_bins = None, 0
+    best, best_bins, bins = None, 0, 0
     for r in range(rounds):
         parts = max(1, -(-n // part_rows))
         dealt = todo.withColumn("part", F.pmod(F.xxhash64("pid", F.lit(r)), F.lit(parts)))
         got = written(dealt.groupBy("part").applyInPandas(_packed_part(capacity), schema), "packed")
         got = got.withColumn("sequence_id", F.lit(r << 58) + F.col("part") * (1 << 24) + F.col("bin"))
         made = got.where("offset = 0").count()
+        bins = spent + min(made, best_bins if best is not None else made)
         if best is not None and made >= best_bins:
             settled.append(best)  # nothing saved: as it was
             best = None
@@ -280,19 +282,21 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS,
         todo = loose.select("pid", "length")
     if best is not None:
         settled.append(best)
-    out = rows.where(F.col("length") >= capacity).select("pid", (-1 - F.col("pid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    out = whole.select("pid", (-1 - F.col("pid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     for d in settled:
         out = out.union(d.select("pid", "sequence_id", "offset"))
-    return out
+    return out, full + bins, full + need
 
 
 def packed(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, part_rows: int = PART_ROWS, derive: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids, sequence_id, offset) for each piece of each row of docs.
+    """(doc_id, piece, start, length, ids, sequence_id, offset, n_sequences, lower_bound) for each piece of each row of docs.
 
+    n_sequences: how many sequences there are in all; lower_bound: how many there must be, whatever the packing.
     derive: columns to make from ids, by name, in place of ids. Each row packs on its own, repeated ids and null ids
     included. Null and empty texts give one piece, the end id. An empty table gives an empty result.
     """
     made = {"ids": lambda c: c} if derive is None else derive
     p = pieces(docs, path, end_id, capacity).select("doc_id", "piece", "start", "length", *[f(F.col("ids")).alias(k) for k, f in made.items()])
     p = written(p.withColumn("pid", F.monotonically_increasing_id()), "pieces")
-    return p.join(pack(p.select("pid", "length"), capacity, part_rows), "pid").drop("pid")
+    placed, made, least = pack(p.select("pid", "length"), capacity, part_rows)
+    return p.join(placed, "pid").drop("pid").withColumns({"n_sequences": F.lit(made).cast("long"), "lower_bound": F.lit(least).cast("long")})
