@@ -267,6 +267,32 @@ def _alike(a: np.ndarray, b: np.ndarray, likeness: float) -> bool:
     return both >= likeness * (len(a) + len(b) - both) - 1e-9
 
 
+def overlaps(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many hashes each set on the left has in common with each on the right: products of 0-1 matrices over the hashes that both sides have, width at a time.
+
+    A side is the sizes of its sets and their hashes, one set after the other.
+    """
+    both = np.intersect1d(left[1], right[1])
+    sides = []
+    for sizes, flat in (left, right):
+        at = np.searchsorted(both, flat)
+        keep = at < len(both)
+        keep[keep] = both[at[keep]] == flat[keep]
+        rows = np.repeat(np.arange(len(sizes)), sizes)[keep]
+        order = np.argsort(at[keep], kind="stable")
+        sides.append((rows[order], at[keep][order]))
+    out = np.zeros((len(left[0]), len(right[0])), np.float32)  # exact: counts are far below 2 ** 24
+    for lo in range(0, len(both), width):
+        parts = []
+        for (rows, at), (sizes, _) in zip(sides, (left, right), strict=True):
+            a, b = np.searchsorted(at, [lo, lo + width])
+            m = np.zeros((len(sizes), min(width, len(both) - lo)), np.float32)
+            m[rows[a:b], at[a:b] - lo] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
 def judged_links(found: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
     """(a, b, alike): links held against the whole sets of both ends."""
 
@@ -297,12 +323,9 @@ def exact_links(members: DataFrame, sets: DataFrame, radius: int, likeness: floa
     dealt = dealt.repartition(partitions(spark), "label", "i", "j").sortWithinPartitions("label", "i", "j", "side")
 
     def checks(left: list[np.ndarray], other: list[np.ndarray]):
-        parts = [np.split(x[3], np.cumsum(x[2])[:-1]) for x in (left, other)]
-
-        def check(x: int, j: np.ndarray) -> np.ndarray:
-            return np.array([_alike(parts[0][x], parts[1][y], likeness) for y in j], bool)
-
-        return check
+        both = overlaps((left[2], left[3]), (other[2], other[3]))
+        good = both >= likeness * (left[2][:, None] + other[2][None, :] - both) - 1e-9
+        return lambda x, j: good[x, j]
 
     return dealt.mapInArrow(_compared(3, 4, radius, checks), "a long, b long")
 

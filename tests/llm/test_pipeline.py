@@ -171,6 +171,14 @@ def test_likeness_across_tiles(spark, tile, nodes, monkeypatch):
     assert len(set(label)) > 5
 
 
+def test_overlaps_are_exact():
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 300, r.integers(0, 90))) for _ in range(40)]
+    side = lambda x: (np.array([len(s) for s in x]), np.concatenate(x))
+    got = simhash.overlaps(side(sets[:15]), side(sets[15:]), width=7)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[15:]] for a in sets[:15]]
+
+
 def test_a_tile_without_rows_is_passed_over():
     import pyarrow as pa
 
