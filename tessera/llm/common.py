@@ -9,6 +9,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -41,19 +43,59 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables that written() made inside temporary(), the innermost one's.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, and is computed once."""
     path = shared_path(df.sparkSession, name)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that written() makes inside are deleted at the end, and shuffle files that nothing refers to go with them.
+
+    Yields a written() for what is to stay: nothing else that reads tables made inside may be read afterwards.
+    """
+    outer, own = _MADE.get(), []
+    token = _MADE.set(own)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        inner = _MADE.set(outer)
+        try:
+            return written(df, name)
+        finally:
+            _MADE.reset(inner)
+
+    try:
+        yield keep
+    finally:
+        _MADE.reset(token)
+        for path in own:
+            _delete(spark, path)
+        freed(spark)
+
+
+def freed(spark: SparkSession) -> None:
+    """Shuffle files of what has run go once the driver's JVM collects its garbage, which it seldom does by itself."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table that written() made, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
 
 
 def tidy() -> None:

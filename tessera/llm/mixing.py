@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import fresh, words, written
+from .common import fresh, temporary, words, written
 
 #: Rows of a source in one range of keys, about.
 RANGE_ROWS = 20_000
@@ -96,8 +96,9 @@ def apply_mix(docs: DataFrame, seed: int = 17, **kwargs) -> DataFrame:
     Sizes are measured twice rather than shuffling texts: what a document gives follows from its own key.
     """
     m = fresh("_mix", docs.columns)
-    rows = written(sized_rows(docs.select("doc_id", "text", "source"), seed, "_m").select("_m.*"), "sized")
-    cut = cuts(rows, seed, **kwargs).select("s", "epochs", "cut", "part")
+    with temporary(docs.sparkSession) as keep:
+        rows = written(sized_rows(docs.select("doc_id", "text", "source"), seed, "_m").select("_m.*"), "sized")
+        cut = keep(cuts(rows, seed, **kwargs).select("s", "epochs", "cut", "part"), "mix")
     cut = cut.select(F.struct("*").alias(fresh("_cut", docs.columns)))
     c = cut.columns[0]
     df = sized_rows(docs, seed, m)

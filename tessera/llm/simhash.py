@@ -14,18 +14,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate
+from math import log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import partitions, slices, text_key, tidied, written
+from .common import freed, partitions, slices, temporary, text_key, tidied, written
 from .components import components
 
 SEED = 42
 #: Fingerprints in a tile; a bound on a task's memory, never on what is compared.
 TILE = 16_384
+#: The same where sketches go along: a tile is sent to every other one that it may hold links with, so larger ones are sent less often.
+SKETCH_TILE = 65_536
+#: Tile pairs of a task, about.
+TASK_PAIRS = 8
 #: Hashes gathered before their bits are counted.
 GATHER = 1 << 17
 #: Lanes of the one-byte MinHash sketch that the optional likeness check reads.
@@ -210,7 +215,7 @@ def _by_sketch(likeness: float):
     return checks
 
 
-def links(distinct: DataFrame, radius: int, likeness: float | None = None, tile: int = TILE) -> DataFrame:
+def links(distinct: DataFrame, radius: int, likeness: float | None = None, tile: int | None = None) -> DataFrame:
     """Links (a, b) that span the components of 'at most radius bits differ' over distinct fingerprints.
 
     distinct: a row for each node: node (long, unique), fp and, where likeness is given, n and sketch; then links must
@@ -218,11 +223,20 @@ def links(distinct: DataFrame, radius: int, likeness: float | None = None, tile:
     allow it. An empty table has no links.
     """
     spark = distinct.sparkSession
-    # a class is a few neighbouring population counts, the more the wider the radius; classes this far apart can hold links
-    wide = max(1, radius // 4)
-    reach, top = (radius + wide - 1) // wide, 64 // wide
-    p, h = F.floor(F.bit_count("fp") / wide).cast("int"), F.xxhash64("fp", "node")
-    by = {r["p"]: r["c"] for r in distinct.groupBy(p.alias("p")).agg(F.count("*").alias("c")).collect()}  # 65 rows at most
+    tile = tile or (SKETCH_TILE if likeness else TILE)
+    if likeness and likeness < 1:
+        # a class is a range of counts, two to a factor of 1 / likeness: classes further apart hold no link, whatever the
+        # rounding of a logarithm, since the factor is taken a little wider
+        reach = 2
+        p = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) * F.lit(reach / (log(1 / likeness) * (1 + 1e-9)))).cast("int")
+    else:
+        # a class is a few neighbouring population counts, the more the wider the radius; classes this far apart can hold links
+        wide = max(1, radius // 4)
+        reach = (radius + wide - 1) // wide
+        p = F.floor(F.bit_count("fp") / wide).cast("int")
+    h = F.xxhash64("fp", "node")
+    by = {r["p"]: r["c"] for r in distinct.groupBy(p.alias("p")).agg(F.count("*").alias("c")).collect()}  # 65 rows at most, or a few for each doubling of n
+    top = max(by, default=0)
     blocks = [-(-by.get(x, 0) // tile) for x in range(top + 1)]
     m = F.array(*[F.lit(x) for x in blocks])
     cut = F.element_at(m, p + 1)
@@ -241,10 +255,10 @@ def links(distinct: DataFrame, radius: int, likeness: float | None = None, tile:
     t = tiles.withColumn("blocks", m)
     rest = ["p", "i", "node", "fp", *more]
     copies = t.select(F.explode(F.flatten(F.expr(upper))).alias("pair"), F.lit(0).alias("side"), *rest).union(t.select(F.explode(F.flatten(F.expr(lower))).alias("pair"), F.lit(1).alias("side"), *rest))
-    n_tiles = sum(blocks)
+    n_pairs = sum(blocks[x] * sum(blocks[x : x + reach + 1]) for x in range(top + 1))
     own = (F.col("p1") == F.col("p2")) & (F.col("i1") == F.col("j2"))
     dealt = copies.select("pair.*", "side", *rest[2:]).select("p1", "i1", "p2", "j2", own.alias("own"), "side", *rest[2:])
-    dealt = dealt.repartition(max(partitions(spark), n_tiles * n_tiles // 64), "p1", "i1", "p2", "j2").sortWithinPartitions("p1", "i1", "p2", "j2", "side")
+    dealt = dealt.repartition(max(partitions(spark), n_pairs // TASK_PAIRS), "p1", "i1", "p2", "j2").sortWithinPartitions("p1", "i1", "p2", "j2", "side")
     return dealt.mapInArrow(_compared(4, 2 + len(more), radius, _by_sketch(likeness) if likeness else None), "a long, b long")
 
 
@@ -333,6 +347,7 @@ def exact_links(members: DataFrame, sets: DataFrame, radius: int, likeness: floa
 def _exactly(docs: DataFrame, text_col: str, distinct: DataFrame, found: DataFrame, k: int, radius: int, likeness: float) -> DataFrame:
     """(node, label) of the components of exact links: forests of the sketch's links, each link judged by whole sets, and groups in which one fails compared anew."""
     found = written(found, "links")
+    freed(docs.sparkSession)  # the tiles' copies
     linked = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = written(distinct.join(linked, "node", "left_semi").select(F.col("node"), F.col("t.t1").alias("x1"), F.col("t.t2").alias("x2")), "wanted")
     texts = docs.select(F.col(text_col).alias("text"), *text_key(text_col)).join(wanted, (F.col("t1") == F.col("x1")) & (F.col("t2") == F.col("x2"))).select("node", "text").dropDuplicates(["node"])
@@ -345,7 +360,7 @@ def _exactly(docs: DataFrame, text_col: str, distinct: DataFrame, found: DataFra
     return whole.unionByName(components(exact_links(members, sets, radius, likeness)))
 
 
-def groups(docs: DataFrame, k: int = 5, radius: int = 4, likeness: float | None = None, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+def groups(docs: DataFrame, k: int = 5, radius: int = 4, likeness: float | None = None, id_col: str = "doc_id", text_col: str = "text", tile: int | None = None) -> DataFrame:
     """(id, fp, component_id) for each row of docs: the near-duplicate group it belongs to.
 
     Two fingerprints link at radius or fewer differing bits and, with likeness, if their sets of shingles have that
@@ -373,6 +388,7 @@ def keep_one(docs: DataFrame, k: int = 5, radius: int = 16, likeness: float | No
     Rows with a null doc_id stay. Of rows that repeat the smallest doc_id, all stay. Null texts and texts without
     words are one group.
     """
-    grouped = groups(docs.select("doc_id", "text"), k, radius, likeness)
-    gone = grouped.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    with temporary(docs.sparkSession) as keep:
+        grouped = groups(docs.select("doc_id", "text"), k, radius, likeness)
+        gone = keep(grouped.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import fresh, slices, text_key, tidied, written
+from .common import discard, freed, fresh, slices, temporary, text_key, tidied, written
 
 #: Fixed value: a sentence or line with the blanks after it: it ends at marks before a blank or the end, or at a line feed. They cover a text without gaps.
 SENTENCE = r"(?:[^.!?\n]|[.!?]+[^.!?\n \t\x0b\x0c\r])+[.!?]*[ \t\n\x0b\x0c\r]*|[.!?]+[ \t\n\x0b\x0c\r]*|[ \t\n\x0b\x0c\r]+"
@@ -95,6 +95,8 @@ def repeats(docs: DataFrame, min_words: int = LEAST, id_col: str = "doc_id", tex
     u = written(units(docs, min_words, id_col, text_col), "units")
     often = written(u.groupBy("d1", "d2").agg(F.count("*").alias("c")).where("c > 1").select("d1", "d2"), "often")
     found = written(u.join(often, ["d1", "d2"]), "repeated")
+    discard(u)
+    freed(docs.sparkSession)
     rank = F.struct(F.col("id").isNull().alias("x"), F.col("id"), F.col("t1"), F.col("t2"), F.col("s"))
     first = written(found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.min_by("e", rank).alias("until")), "first")
     own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2"))
@@ -123,7 +125,9 @@ def cleaned(docs: DataFrame, min_words: int = LEAST, spans: str | None = None) -
     spans: a further column for the removed spans, with original offsets. Null texts stay null; empty texts and an
     empty table pass through; a document can lose all its text and then has an empty one. Rows that repeat lose alike.
     """
-    gone = repeats(docs, min_words).select(F.struct("id", "t1", "t2", "spans").alias(fresh("_gone", docs.columns)))
+    with temporary(docs.sparkSession) as keep:
+        gone = keep(repeats(docs, min_words), "spans")
+    gone = gone.select(F.struct("id", "t1", "t2", "spans").alias(fresh("_gone", docs.columns)))
     g = gone.columns[0]
     name = spans or fresh("_spans", docs.columns)
     same = [key == gone[f"{g}.{c}"] for c, key in zip(("t1", "t2"), text_key(docs["text"]), strict=True)]
