@@ -25,7 +25,11 @@ HOST_PATH = r"^(?:[A-Za-z]:|\\)"
 
 def typed(attrs: Column, field: str, lists: bool = False) -> tuple[Column, Column]:
     """A JSON field as a text, or as a list of texts, and whether it has another type; null and absent are of no type."""
-    v = F.try_variant_get(F.try_parse_json(F.coalesce(attrs, F.lit("{}"))), f"$.{field}", "variant")
+    return typed_value(F.try_variant_get(F.try_parse_json(F.coalesce(attrs, F.lit("{}"))), f"$.{field}", "variant"), lists)
+
+
+def typed_value(v: Column, lists: bool = False) -> tuple[Column, Column]:
+    """typed, of a field that is read already."""
     kind = F.schema_of_variant(v)
     good = kind.isin("ARRAY<STRING>", "ARRAY<VOID>") if lists else kind == "STRING"
     # a list of no elements is an ARRAY<VOID>, and so is one of nulls alone
@@ -43,15 +47,19 @@ def routes(nodes: DataFrame) -> DataFrame:
     """
     attr = lambda name: F.get_json_object(F.coalesce("attrs", F.lit("{}")), f"$.{name}")
     schema = attr("route_schema")
-    v2 = F.coalesce(schema.rlike(r"^\d+$") & (schema.try_cast("int") >= 2) & (F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.coalesce("attrs", F.lit("{}"))), "$.route_schema", "variant")) == "BIGINT"), F.lit(False))
-    r = nodes.where("kind = 'http_route'").withColumn("v2", v2)
-    read = {f: typed(F.col("attrs"), f) for f in TEXT_FIELDS} | {f: typed(F.col("attrs"), f, True) for f in LIST_FIELDS}
+    # a row's attrs are parsed once, and each field is taken from them once
+    r = nodes.where("kind = 'http_route'").withColumn("_json", F.try_parse_json(F.coalesce("attrs", F.lit("{}"))))
+    field = lambda f: F.try_variant_get("_json", f"$.{f}", "variant")
+    r = r.withColumns({f"_{f}": field(f) for f in ("route_schema", *TEXT_FIELDS, *LIST_FIELDS)})
+    v2 = F.coalesce(schema.rlike(r"^\d+$") & (schema.try_cast("int") >= 2) & (F.schema_of_variant("_route_schema") == "BIGINT"), F.lit(False))
+    r = r.withColumn("v2", v2)
+    read = {f: typed_value(F.col(f"_{f}")) for f in TEXT_FIELDS} | {f: typed_value(F.col(f"_{f}"), True) for f in LIST_FIELDS}
     plain = {f: attr(f) for f in ("route_path", "route_name")}
     wrong = reduce(lambda a, b: a | b, [bad for _, bad in read.values()])
     state, kind = read["authorization_state"][0], read["handler_kind"][0]
     wrong = wrong | (state.isNotNull() & ~state.isin(STATES)) | (kind.isNotNull() & ~kind.isin(HANDLER_KINDS))
     marks = F.when(F.col("v2") & wrong, F.array(F.lit(INVALID))).otherwise(F.array().cast("array<string>"))
-    r = r.select("*", *[c.alias(f) for f, c in plain.items()], *[c.alias(f) for f, (c, _) in read.items()], marks.alias("marks"))
+    r = r.select(*nodes.columns, "v2", *[c.alias(f) for f, c in plain.items()], *[c.alias(f) for f, (c, _) in read.items()], marks.alias("marks"))
     return r.withColumn("path", F.coalesce(F.nullif("route_path", F.lit("")), F.col("label"), F.lit("")))
 
 
@@ -169,7 +177,7 @@ def evidence(g: Graph, matched: DataFrame, root: str | None = None) -> DataFrame
     r = matched.select("id", "repo", "v2")
     handled = r.join(out_edges(g.edges, "handled_by").select(F.col("source").alias("id"), F.col("target").alias("handler"), _text("_via").alias("via"), _text("provider").alias("h_provider")), "id")
     any_v2 = routes(g.nodes).where("v2").select(F.col("id").alias("source"))
-    v2_handler = out_edges(g.edges, "handled_by").join(any_v2, "source", "left_semi").select(F.col("target").alias("handler"), F.lit(True).alias("h_v2")).distinct()
+    v2_handler = out_edges(g.edges, "handled_by").join(handled.select(F.col("handler").alias("target")).distinct(), "target", "left_semi").join(any_v2, "source", "left_semi").select(F.col("target").alias("handler"), F.lit(True).alias("h_v2")).distinct()
     owner = g.edges.where("relation = 'method'").groupBy(F.col("target").alias("handler")).agg(F.min_by("source", F.struct("ord", "source") if "ord" in g.edges.columns else F.struct("source")).alias("cls"))
     h = handled.join(owner, "handler", "left").join(v2_handler, "handler", "left").withColumn("h_v2", F.coalesce("h_v2", F.lit(False)))
     own = lambda at, scope, v2: (F.col(at).alias("at"), F.lit(scope).alias("scope"), F.col(v2).alias("e_v2"))
