@@ -141,6 +141,33 @@ def text_key(text: Column | str, a: str = "t1", b: str = "t2") -> list[Column]:
     return [F.xxhash64(text).alias(a), F.xxhash64(F.lit(42), F.col(text) if isinstance(text, str) else text).alias(b)]
 
 
+#: Bits of the filter that parted() broadcasts: half a megabyte, whatever the input. A bound on memory, never on the result.
+FILTER_BITS = 1 << 22
+#: Bits of one row of it: what bitmap_construct_agg makes.
+BITMAP_BITS = 1 << 15
+
+
+def parted(df: DataFrame, key: Column, keys: DataFrame, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """df in two: rows whose key is surely not in keys, and the rest, most of which have theirs there; for exact joins that shuffle the rest's texts alone.
+
+    key: 64-bit hashes, as keys' only column holds them. A bitmap of hashes modulo bits is broadcast; the more keys, the
+    more rows without one are in the rest, up to all of them. Rows with a null key are sure.
+    """
+
+    def place(c: Column) -> tuple[Column, Column]:
+        bit = F.pmod(c, F.lit(bits).cast("long"))
+        return F.floor(bit / BITMAP_BITS).cast("long"), F.pmod(bit, F.lit(BITMAP_BITS).cast("long"))
+
+    m, b = (fresh(n, df.columns) for n in ("_map", "_bucket"))
+    bucket, bit = place(F.col(keys.columns[0]))
+    maps = keys.where(bit.isNotNull()).select(bucket.alias(b), bit.alias("bit")).groupBy(b).agg(F.bitmap_construct_agg("bit").alias(m))
+    bucket, bit = place(key)
+    byte = F.conv(F.hex(F.substring(m, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False))
+    tried = df.join(F.broadcast(maps), bucket == maps[b], "left")
+    return tried.where(~there).select(*[df[c] for c in df.columns]), tried.where(there).select(*[df[c] for c in df.columns])
+
+
 def fresh(name: str, taken: Sequence[str]) -> str:
     """name, or name with underscores before it, so that no column of the caller's is hidden."""
     while name.lower() in {t.lower() for t in taken}:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import freed, partitions, slices, temporary, text_key, tidied, written
+from .common import freed, parted, partitions, slices, temporary, text_key, tidied, written
 from .components import components
 
 SEED = 42
@@ -350,7 +350,8 @@ def _exactly(docs: DataFrame, text_col: str, distinct: DataFrame, found: DataFra
     freed(docs.sparkSession)  # the tiles' copies
     linked = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = written(distinct.join(linked, "node", "left_semi").select(F.col("node"), F.col("t.t1").alias("x1"), F.col("t.t2").alias("x2")), "wanted")
-    texts = docs.select(F.col(text_col).alias("text"), *text_key(text_col)).join(wanted, (F.col("t1") == F.col("x1")) & (F.col("t2") == F.col("x2"))).select("node", "text").dropDuplicates(["node"])
+    _, likely = parted(docs.select(F.col(text_col).alias("text"), *text_key(text_col)), F.col("t1"), wanted.select("x1"))
+    texts = likely.join(wanted, (F.col("t1") == F.col("x1")) & (F.col("t2") == F.col("x2"))).select("node", "text").dropDuplicates(["node"])
     sets = written(shingle_sets(texts, k), "sets")
     judged = written(judged_links(found, sets, likeness), "judged")
     labels = written(components(found), "labels")
@@ -391,4 +392,5 @@ def keep_one(docs: DataFrame, k: int = 5, radius: int = 16, likeness: float | No
     with temporary(docs.sparkSession) as keep:
         grouped = groups(docs.select("doc_id", "text"), k, radius, likeness)
         gone = keep(grouped.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    sure, rest = parted(docs, F.xxhash64(docs["doc_id"]), gone.select(F.xxhash64("_gone")))
+    return sure.unionByName(rest.join(gone, rest["doc_id"] == gone["_gone"], "left_anti"))

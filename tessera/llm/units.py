@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import discard, freed, fresh, slices, temporary, text_key, tidied, written
+from .common import discard, freed, fresh, parted, slices, temporary, text_key, tidied, written
 
 #: Fixed value: a sentence or line with the blanks after it: it ends at marks before a blank or the end, or at a line feed. They cover a text without gaps.
 SENTENCE = r"(?:[^.!?\n]|[.!?]+[^.!?\n \t\x0b\x0c\r])+[.!?]*[ \t\n\x0b\x0c\r]*|[.!?]+[ \t\n\x0b\x0c\r]*|[ \t\n\x0b\x0c\r]+"
@@ -130,8 +130,9 @@ def cleaned(docs: DataFrame, min_words: int = LEAST, spans: str | None = None) -
     gone = gone.select(F.struct("id", "t1", "t2", "spans").alias(fresh("_gone", docs.columns)))
     g = gone.columns[0]
     name = spans or fresh("_spans", docs.columns)
-    same = [key == gone[f"{g}.{c}"] for c, key in zip(("t1", "t2"), text_key(docs["text"]), strict=True)]
-    df = docs.join(gone, [docs["doc_id"].eqNullSafe(gone[f"{g}.id"]), *same], "left").withColumn(name, F.col(f"{g}.spans"))
+    sure, rest = parted(docs, text_key(docs["text"])[0], gone.select(f"{g}.t1"))
+    same = [key == gone[f"{g}.{c}"] for c, key in zip(("t1", "t2"), text_key(rest["text"]), strict=True)]
+    df = rest.join(gone, [rest["doc_id"].eqNullSafe(gone[f"{g}.id"]), *same], "left").withColumn(name, F.col(f"{g}.spans"))
 
     @F.udf("string", useArrow=True)
     def cut(text, where):
@@ -139,5 +140,8 @@ def cleaned(docs: DataFrame, min_words: int = LEAST, spans: str | None = None) -
 
     df = df.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(cut("text", name)))
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return df.select(*docs.columns, *([name] if spans else []))
+        df, sure = (x.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) for x in (df, sure))
+    if spans:
+        sure = sure.withColumn(name, F.lit(None).cast(gone.schema[g].dataType["spans"].dataType))
+    kept = [*docs.columns, *([name] if spans else [])]
+    return df.select(*kept).unionByName(sure.select(*kept))

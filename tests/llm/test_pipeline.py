@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from tessera.llm import rules, simhash
-from tessera.llm.common import table
+from tessera.llm.common import parted, table
 
 from .test_llm import SCHEMA, brute_cleaned, brute_em, brute_fp, brute_rules, check_sequences, closure, prose, words_of
 
@@ -216,3 +216,46 @@ def test_links_of_size_classes_are_those_of_brute_force(spark):
         got = {frozenset((x["a"], x["b"])) for x in simhash.links(d, 16, 0.8, tile).collect()}
         mine, theirs = parts(got), parts(want)
         assert got <= want and len(set(mine)) == len(set(theirs)) == len(set(zip(mine, theirs, strict=True)))
+
+
+@pytest.mark.parametrize("bits", [8, 1 << 17, 1 << 22])
+def test_parted_rows_have_no_key_for_certain(spark, bits):
+    """Pipeline: whatever the bits, no row with a key is among the sure ones, none is lost, and wide filters leave few others in the rest."""
+    r = random.Random(8)
+    hashes = [r.randint(-(1 << 63), (1 << 63) - 1) for _ in range(600)] + [0, -1, bits - 1, bits, -bits, (1 << 63) - 1, -(1 << 63)]
+    rows = [(i, h) for i, h in enumerate(hashes)] + [(-1, None), (-2, hashes[0])]
+    d, keys = spark.createDataFrame(rows, "i long, _map long"), spark.createDataFrame([(h,) for h in hashes[::3]] + [(None,), (hashes[0],)], "h long")
+    sure, rest = (sorted(map(tuple, x.collect())) for x in parted(d, d["_map"], keys, bits))
+    assert sorted([*sure, *rest]) == sorted(rows)
+    assert not {h for _, h in sure} & set(hashes[::3]) and (-1, None) in sure
+    if bits > 8:
+        assert len(rest) < len(hashes[::3]) + 10
+    empty, full = parted(d, d["_map"], keys.where("h is null"), bits)
+    assert (empty.count(), full.count()) == (len(rows), 0)
+
+
+def test_texts_without_a_match_are_not_shuffled(spark, tmp_path):
+    """Pipeline: with joins that sort and merge, each stage sent all texts through a shuffle to drop or cut a few."""
+    r, jvm, gate = random.Random(9), spark._jvm, spark.sparkContext._gateway
+    texts = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(1500)) + "." for _ in range(300)]
+    texts[:6] = [texts[6], texts[7], "bad # $", f"{texts[8][:3000]}. {texts[9]}", f"{texts[8][:3000]}. {texts[10]}", ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    docs.write.parquet(f"{tmp_path}/docs")
+
+    def shuffled() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        every = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, gate.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(every.apply(i).shuffleWriteBytes() for i in range(every.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        counts = []
+        for _, stage in P.STAGES[:3]:
+            before, d = shuffled(), spark.read.parquet(f"{tmp_path}/docs")
+            stage(spark, d, SF).write.parquet(out := f"{tmp_path}/{len(counts)}")
+            counts.append((shuffled() - before) / sum(map(len, texts)))
+            got = spark.read.parquet(out)
+            assert 280 < got.count() <= 300 and got.columns == docs.columns
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert max(counts) < 0.3, counts  # fingerprints, sets of the few that are linked, and units
